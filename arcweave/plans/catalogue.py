@@ -1,0 +1,4 @@
+"""Registered queries of the network engine and their DuckDB counterparts."""
+
+QUERIES = {}
+ORACLE_SQL = {}
