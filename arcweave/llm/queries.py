@@ -4,13 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from arcweave.llm import queries_sql as sql
 from arcweave.llm.jaccard_join import JaccardJoin
+from arcweave.llm.line_dedup import LineDedup
+from arcweave.llm.sentencepiece_codec import encode_and_decode
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sentencepiece_model() -> str:
+    """Path of the default vocabulary; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent long lines stay only in the largest document that holds them."""
+    found = LineDedup(min_chars=40, min_docs=5).apply(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links at 4-word shingles and Jaccard 0.85: each document's set size and component."""
     docs = _table(spark, sf_dir, "documents")
@@ -18,8 +34,24 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every text and the text they decode to, as digests."""
+    coded = encode_and_decode(_table(spark, sf_dir, "documents"), sentencepiece_model())
+    return coded.select(
+        F.col("id").alias("doc_id"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_line_dedup": sql.OP2,
+    "op6_ngram_jaccard_join": sql.OP6,
+}
