@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from arcweave.llm import queries_sql as sql
+from arcweave.llm.decontaminate import Decontaminator
+from arcweave.llm.host_quality import HostQuality
 from arcweave.llm.jaccard_join import JaccardJoin
 from arcweave.llm.line_dedup import LineDedup
 from arcweave.llm.sentencepiece_codec import encode_and_decode
+from arcweave.llm.toxicity import ToxicityClassifier, fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +30,18 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity probability of every text, learnt outside the held-out fold."""
+    docs = _table(spark, sf_dir, "documents")
+    scored = ToxicityClassifier().fit(docs, _table(spark, sf_dir, "labels")).score(docs.select("doc_id", "text"))
+    return scored.select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.coalesce(fold("row.doc_id") == 1, F.lit(False)).alias("held_out"),
+        "score",
+        F.expr("CASE WHEN score >= 0.7 THEN 1 ELSE 0 END").alias("predicted"),
+    )
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links at 4-word shingles and Jaccard 0.85: each document's set size and component."""
     docs = _table(spark, sf_dir, "documents")
@@ -34,6 +49,20 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item that it contains, with the best window."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = Decontaminator(k=5, least=0.8).match(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), F.explode("matches").alias("m")).select("doc_id", "m.*")
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of every document, its base rule, and its host's verdict."""
+    found = HostQuality().verdicts(_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return found.select(F.col("row.doc_id").alias("doc_id"), *measures, "base_failed", "kept")
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every text and the text they decode to, as digests."""
     coded = encode_and_decode(_table(spark, sf_dir, "documents"), sentencepiece_model())
@@ -47,11 +76,15 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_decontamination": op7_decontamination,
+    "op8_quality_rules": op8_quality_rules,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE_SQL = {
     "op2_line_dedup": sql.OP2,
     "op6_ngram_jaccard_join": sql.OP6,
+    "op8_quality_rules": sql.OP8,
 }

@@ -36,3 +36,42 @@ reach AS (
 SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_shingles, min(r.low) AS component_id
 FROM sizes s JOIN reach r ON r.node = s.doc_id GROUP BY 1, 2
 """
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _prior(rule: str) -> str:
+    """Weight and mean of the beta prior of a host rule."""
+    mean = f"least(greatest(avg(fails_{rule} / host_docs), 0.001), 0.999)"
+    spread = f"var_pop(fails_{rule} / host_docs)"
+    weight = f"CASE WHEN {spread} > 0 THEN {mean} * (1 - {mean}) / {spread} - 1 ELSE 1000.0 END"
+    return f"{mean} AS mean_{rule}, least(greatest({weight}, 2.0), 1000.0) AS weight_{rule}"
+
+
+_RULES = ("base", "symbols", "dup_lines", "word_length")
+OP8 = f"""
+WITH words AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+triples AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS pos, w FROM words WHERE len(w) >= 3),
+windows AS (SELECT doc_id, pos, array_to_string(list_slice(w, pos, pos + 2), ' ') AS win FROM triples),
+twice AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, win) AS c FROM windows) WHERE c >= 2),
+covered AS (SELECT doc_id, pos AS p FROM twice UNION SELECT doc_id, pos + 1 FROM twice UNION SELECT doc_id, pos + 2 FROM twice),
+repeats AS (SELECT doc_id, count(*) AS n_repeat_words FROM covered GROUP BY doc_id),
+split AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM words),
+lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM split
+          WHERE regexp_matches(line, '{_WORD}') GROUP BY doc_id),
+m AS (SELECT x.doc_id, x.source, CAST(len(w) AS BIGINT) AS n_words,
+        CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
+      FROM words x LEFT JOIN lines l ON l.doc_id = x.doc_id LEFT JOIN repeats r ON r.doc_id = x.doc_id),
+f AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+        10 * n_symbols > n_words AS f_symbols, 10 * n_dup_lines > 3 * n_lines AS f_dup_lines,
+        (word_chars < 2 * n_words OR word_chars > 14 * n_words) AS f_word_length FROM m),
+hosts AS (SELECT source, count(*) AS host_docs, sum(base_failed::BIGINT) AS fails_base, sum(f_symbols::BIGINT) AS fails_symbols,
+            sum(f_dup_lines::BIGINT) AS fails_dup_lines, sum(f_word_length::BIGINT) AS fails_word_length FROM f GROUP BY source),
+prior AS (SELECT {", ".join(map(_prior, _RULES))} FROM hosts),
+judged AS (SELECT source, {" AND ".join(f"(fails_{r} + mean_{r} * weight_{r}) / (host_docs + weight_{r}) <= 0.5" for r in _RULES)} AS host_ok
+           FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_ok AS kept
+FROM f JOIN judged j ON f.source IS NOT DISTINCT FROM j.source
+"""
