@@ -38,6 +38,9 @@ from arcweave.operators.components import star_labels
 from arcweave.operators.storage import Scratch
 
 FRAGMENTS = 4
+#: Bits of the filter of live classes that goes to every task: 2 MB at any input
+#: size.  It only spares work; what it lets through is joined exactly afterwards.
+FILTER_BITS = 1 << 24
 _SETS_SCHEMA = "cls long, n long, " + ", ".join(f"t{f} array<long>" for f in range(FRAGMENTS))
 
 
@@ -84,12 +87,34 @@ def _fragment_rows(k: int, fragment: int):
     return run
 
 
-def _set_rows(k: int):
+def _filter_places(column: str) -> list[Column]:
+    """Bit numbers of a class in the filter."""
+    folded = F.col(column).bitwiseXOR(F.shiftrightunsigned(column, 29))
+    return [F.pmod(folded, F.lit(FILTER_BITS)), F.pmod(F.shiftrightunsigned(column, 24), F.lit(FILTER_BITS))]
+
+
+def _live_filter(live: DataFrame) -> np.ndarray:
+    """Bit filter of the live classes, built by a distributed bitwise-or."""
+    places = live.select(F.explode(F.array(*_filter_places("cls"))).alias("bit"))
+    words = places.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+    found = words.toArrow()
+    table = np.zeros(FILTER_BITS // 64, np.int64)
+    table[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return table
+
+
+def _may_be_live(table: np.ndarray, cls: int) -> bool:
+    value = cls & (2**64 - 1)
+    return all(table[bit >> 6] >> (bit & 63) & 1 for bit in ((value ^ value >> 29) % FILTER_BITS, (value >> 24) % FILTER_BITS))
+
+
+def _set_rows(k: int, live_filter):
     def run(batches):
+        table = live_filter.value
         for batch in batches:
             rows = []
             for _, grams in _distinct(batch, k):
-                if len(grams):
+                if len(grams) and _may_be_live(table, _class_of(grams)):
                     where = grams % np.uint64(FRAGMENTS)
                     rows.append((_class_of(grams), len(grams), *(grams[where == f].view(np.int64) for f in range(FRAGMENTS))))
                 if len(rows) == 512:
@@ -107,11 +132,6 @@ def _set_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), *lists], ["cls", "n", *(f"t{f}" for f in range(FRAGMENTS))])
 
 
-def _key(column: str) -> Column:
-    """Join key of an id that may be null."""
-    return F.coalesce(F.col(column).cast("long"), F.lit(-(2**63)))
-
-
 class JaccardJoin:
     """Link texts whose ``k``-word shingle sets have Jaccard ``>= num / den``."""
 
@@ -149,22 +169,21 @@ class JaccardJoin:
         """
         source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
         ids = scratch.keep(source.mapInArrow(_class_rows(self.k), "id long, n long, cls long"), "ids")
-        classes = ids.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
+        classes = ids.where("n > 0").groupBy("cls").agg(F.max("n").alias("n"))
         first = self._alone(source.mapInArrow(_fragment_rows(self.k, 0), "tok long, cls long"))
         live = scratch.keep(
-            classes.join(first, "cls", "left").withColumn("s", F.coalesce("s", F.lit(0))).where(F.col("s") <= self._room()).select("cls", "rep", "n", "s"),
+            classes.join(first, "cls", "left").withColumn("s", F.coalesce("s", F.lit(0))).where(F.col("s") <= self._room()).select("cls", "n", "s"),
             "live0",
         )
-        wanted = live.select(_key("rep").alias("key")).distinct()
-        texts = source.withColumn("key", _key("id")).join(wanted, "key", "left_semi").select("id", "text")
-        sets = texts.mapInArrow(_set_rows(self.k), _SETS_SCHEMA)
+        live_filter = docs.sparkSession.sparkContext.broadcast(_live_filter(live))
+        sets = source.select("id", "text").mapInArrow(_set_rows(self.k, live_filter), _SETS_SCHEMA)
         sets = sets.groupBy("cls").agg(F.first("n").alias("n"), *(F.first(f"t{f}").alias(f"t{f}") for f in range(FRAGMENTS)))
         sets = scratch.keep(sets.join(live.select("cls", "s"), "cls"), "sets0")
         for f in range(1, FRAGMENTS):
             tokens = sets.select("cls", F.explode(f"t{f}").alias("tok"))
             more = self._alone(tokens).withColumnRenamed("s", "more")
             kept = live.join(more, "cls", "left").withColumn("s", F.col("s") + F.coalesce("more", F.lit(0))).where(F.col("s") <= self._room())
-            live = scratch.keep(kept.select("cls", "rep", "n", "s"), f"live{f}")
+            live = scratch.keep(kept.select("cls", "n", "s"), f"live{f}")
             sets = scratch.keep(sets.drop("s").join(live.select("cls", "s"), "cls"), f"sets{f}")
             scratch.drop(f"live{f - 1}", f"sets{f - 1}")
         tokens = sets.select("cls", F.explode(F.concat(*(f"t{f}" for f in range(FRAGMENTS)))).alias("tok"))
