@@ -8,7 +8,9 @@ from arcweave.llm import queries_sql as sql
 from arcweave.llm.decontaminate import Decontaminator
 from arcweave.llm.host_quality import HostQuality
 from arcweave.llm.jaccard_join import JaccardJoin
+from arcweave.llm.license_scan import LicenseScan
 from arcweave.llm.line_dedup import LineDedup
+from arcweave.llm.secret_scan import SecretScan
 from arcweave.llm.sentencepiece_codec import encode_and_decode
 from arcweave.llm.toxicity import ToxicityClassifier, fold
 
@@ -24,6 +26,12 @@ def sentencepiece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and license of which it holds a notice or header."""
+    found = LicenseScan().scan(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "license", "containment")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequent long lines stay only in the largest document that holds them."""
     found = LineDedup(min_chars=40, min_docs=5).apply(_table(spark, sf_dir, "documents"))
@@ -63,6 +71,18 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), *measures, "base_failed", "kept")
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text by kind, and digests of their spans."""
+    scan = SecretScan()
+    found = scan.scan(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        F.col("id").alias("doc_id"), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(scan.rendered(base), 256).alias("base_sha256"), scan.rendered(F.col("spans")).alias("spans"),
+    )
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every text and the text they decode to, as digests."""
     coded = encode_and_decode(_table(spark, sf_dir, "documents"), sentencepiece_model())
@@ -75,16 +95,20 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_line_dedup": op2_line_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_decontamination": op7_decontamination,
     "op8_quality_rules": op8_quality_rules,
+    "op9_secret_scan": op9_secret_scan,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE_SQL = {
+    "op1_license_scan": sql.OP1,
     "op2_line_dedup": sql.OP2,
     "op6_ngram_jaccard_join": sql.OP6,
     "op8_quality_rules": sql.OP8,
+    "op9_secret_scan": sql.OP9,
 }

@@ -1,5 +1,8 @@
 """DuckDB SQL for those queries of this subpackage that SQL can express."""
 
+from arcweave.llm.license_scan import TEMPLATES
+from arcweave.llm.secret_scan import BASE_RULES, MORE_RULES
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WHITE = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
@@ -75,3 +78,49 @@ judged AS (SELECT source, {" AND ".join(f"(fails_{r} + mean_{r} * weight_{r}) /
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_ok AS kept
 FROM f JOIN judged j ON f.source IS NOT DISTINCT FROM j.source
 """
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_TEMPLATE_ROWS = ", ".join(f"({i}, {_quoted(name)}, {_quoted(text)})" for i, (name, text) in enumerate(TEMPLATES))
+_NORMAL = r"string_split(trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')"
+OP1 = f"""
+WITH given(template, license, text) AS (VALUES {_TEMPLATE_ROWS}),
+tw AS (SELECT template, license, {_NORMAL.format("text")} AS w FROM given),
+tc AS (SELECT *, greatest(16, CAST(2 ** ceil(log2(len(w))) AS BIGINT)) AS size_class FROM tw),
+tg AS (SELECT DISTINCT template, license, size_class, array_to_string(list_slice(w, i, i + 4), ' ') AS g
+       FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM tc)),
+tn AS (SELECT template, count(*) AS n FROM tg GROUP BY template),
+dw AS (SELECT doc_id, {_NORMAL.format("coalesce(text, '')")} AS w FROM documents),
+dg AS (SELECT doc_id, i - 1 AS pos, array_to_string(list_slice(w, i, i + 4), ' ') AS g
+       FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM dw WHERE len(w) >= 5)),
+hit AS (SELECT doc_id, template, license, g, unnest([pos // size_class, pos // size_class - 1]) AS win FROM dg JOIN tg USING (g)),
+held AS (SELECT doc_id, template, license, win, count(DISTINCT g) AS c FROM hit WHERE win >= 0 GROUP BY 1, 2, 3, 4)
+SELECT doc_id, license, max(c / n) AS containment FROM held JOIN tn USING (template) WHERE c / n >= 0.8 GROUP BY 1, 2
+"""
+
+
+def _matches(number: int, rule) -> str:
+    r = _quoted(rule.pattern)
+    return (f"SELECT doc_id, {number} AS kind, regexp_extract_all(t, {r}) AS m, string_split_regex(t, {r}) AS g, "
+            f"regexp_extract_all(t, {r}, {rule.group}) AS v, {rule.least} AS least FROM docs")
+
+
+_ALL_RULES = BASE_RULES + MORE_RULES
+_NAMES = "[" + ", ".join(_quoted(r.name) for r in _ALL_RULES) + "]"
+OP9 = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({" UNION ALL ".join(_matches(i, r) for i, r in enumerate(_ALL_RULES))}),
+each AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found),
+placed AS (SELECT doc_id, kind, v[i] AS v, least,
+    CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s,
+    length(m[i]) AS n FROM each),
+good AS (SELECT doc_id, kind, s, {_NAMES}[kind + 1] || ':' || s || ':' || (s + n) AS shown FROM placed WHERE length(v) >= least),
+per AS (SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS a, count(*) FILTER (WHERE kind = 1) AS b, count(*) FILTER (WHERE kind = 2) AS c,
+    string_agg(shown, ',' ORDER BY s, kind) FILTER (WHERE kind < 3) AS base, string_agg(shown, ',' ORDER BY s, kind) AS spans FROM good GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs d LEFT JOIN per p ON p.doc_id = d.doc_id
+"""
