@@ -63,7 +63,7 @@ def _class_rows(k: int):
             sizes, classes = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
             for row, grams in _distinct(batch, k):
                 sizes[row], classes[row] = len(grams), _class_of(grams)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(classes)], ["id", "n", "cls"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes), pa.array(classes)], ["id", "text_key", "n", "cls"])
 
     return run
 
@@ -132,6 +132,11 @@ def _set_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), *lists], ["cls", "n", *(f"t{f}" for f in range(FRAGMENTS))])
 
 
+def text_key(column: str) -> Column:
+    """Hash that tells rows of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))
+
+
 class JaccardJoin:
     """Link texts whose ``k``-word shingle sets have Jaccard ``>= num / den``."""
 
@@ -162,13 +167,14 @@ class JaccardJoin:
         return counted.where(f"{self.den} * shared >= {self.num} * (na + nb - shared)").select("a", "b", "shared", "na", "nb")
 
     def links(self, docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-        """``(classes(id, n, cls), links(a, b))``: rows with their class, and class pairs.
+        """``(classes(id, text_key, n, cls), links(a, b))``: rows with their class, and class pairs.
 
         The links are those found; pairs inside a group that leader links
         already join are not listed, so they span each group exactly.
         """
         source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-        ids = scratch.keep(source.mapInArrow(_class_rows(self.k), "id long, n long, cls long"), "ids")
+        keyed = source.withColumn("text_key", text_key("text"))
+        ids = scratch.keep(keyed.mapInArrow(_class_rows(self.k), "id long, text_key long, n long, cls long"), "ids")
         classes = ids.where("n > 0").groupBy("cls").agg(F.max("n").alias("n"))
         first = self._alone(source.mapInArrow(_fragment_rows(self.k, 0), "tok long, cls long"))
         live = scratch.keep(
@@ -209,14 +215,34 @@ class JaccardJoin:
         return ids, star_links.unionByName(cross_links)
 
     def components(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """``(id, n, cls, component)`` per row: set size, class, smallest linked id."""
+        """``(id, text_key, n, grp, component)`` per row.
+
+        ``n`` is the set size, ``grp`` a label of the linked group (null for an
+        empty set) and ``component`` the smallest id of the group.
+        """
         scratch = Scratch(docs.sparkSession, "jaccard")
         ids, links = self.links(docs, id_col, text_col, scratch)
         labels = star_labels(links, "a", "b").withColumnRenamed("id", "cls")
         classes = ids.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"))
         grouped = classes.join(labels, "cls", "left").withColumn("grp", F.coalesce("component", "cls")).select("cls", "rep", "grp")
         lowest = grouped.groupBy("grp").agg(F.min("rep").alias("low"))
-        named = grouped.join(lowest, "grp").select("cls", "low")
+        named = grouped.join(lowest, "grp").select("cls", "grp", "low")
         out = ids.join(named, "cls", "left")
         scratch.drop("sets3", "prefix", "placed", "live3")
-        return out.select("id", "n", "cls", F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("id")).alias("component"))
+        return out.select("id", "text_key", "n", "grp", F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("id")).alias("component"))
+
+    def one_per_group(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """The rows of ``docs`` with the smallest id of each linked group.
+
+        Rows that repeat an id and its text are one document; texts with an empty
+        set are linked with nothing, so all of them stay.  A null id counts as the
+        largest.
+        """
+        scratch = Scratch(docs.sparkSession, "one-per-group")
+        found = self.components(docs, id_col, text_col)
+        order = F.struct(F.coalesce("id", F.lit(2**63 - 1)).alias("k1"), F.col("text_key").alias("k2"))
+        first = found.where("grp is not null").groupBy("grp").agg(F.min(order).alias("w")).select("w.k1", "w.k2")
+        empty = found.where("grp is null").select(order.alias("w")).select("w.k1", "w.k2").distinct()
+        stay = scratch.keep(first.unionByName(empty), "stay")
+        packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("k1"), text_key(text_col).alias("k2"))
+        return packed.join(stay, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("row.*")
