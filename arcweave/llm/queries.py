@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from arcweave.llm import queries_sql as sql
+from arcweave.llm.chat_format import ChatFormatter
 from arcweave.llm.decontaminate import Decontaminator
 from arcweave.llm.host_quality import HostQuality
 from arcweave.llm.jaccard_join import JaccardJoin
@@ -13,6 +14,8 @@ from arcweave.llm.line_dedup import LineDedup
 from arcweave.llm.secret_scan import SecretScan
 from arcweave.llm.sentencepiece_codec import encode_and_decode
 from arcweave.llm.toxicity import ToxicityClassifier, fold
+from arcweave.llm.warc import WarcWriter, read_warc
+from arcweave.operators.storage import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +41,29 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations packed into prefix trees and read back."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    scratch = Scratch(spark, "chat")
+    found = ChatFormatter.unpack(scratch.keep(ChatFormatter().pack(rows.unionByName(extra)), "packs"))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    masked = F.array_join("masked", "")
+    return found.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length(masked).cast("long").alias("loss_chars"), F.sha2(masked, 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC files and read back."""
+    path = Scratch(spark, "warc").path("archive")
+    WarcWriter(revisit_from=0).write(_table(spark, sf_dir, "pages"), path)
+    found = read_warc(spark, path, with_payload=False)
+    return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity probability of every text, learnt outside the held-out fold."""
     docs = _table(spark, sf_dir, "documents")
@@ -97,6 +123,8 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_line_dedup": op2_line_dedup,
+    "op3_chat_format": op3_chat_format,
+    "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_decontamination": op7_decontamination,
@@ -108,6 +136,8 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_license_scan": sql.OP1,
     "op2_line_dedup": sql.OP2,
+    "op3_chat_format": sql.OP3,
+    "op4_warc": sql.OP4,
     "op6_ngram_jaccard_join": sql.OP6,
     "op8_quality_rules": sql.OP8,
     "op9_secret_scan": sql.OP9,
