@@ -1 +1,27 @@
+"""Readers and writers of networks."""
 
+from __future__ import annotations
+
+import time
+from dataclasses import replace
+
+from arcweave.operators.model import FileFormat, GraphError
+from arcweave.sources.edge_list import read_edge_list
+from arcweave.sources.graph500 import read_graph500
+from arcweave.sources.labelled import read_labelled
+
+
+def load(cls, spark, path, layout, file_format: FileFormat = FileFormat.GRAPH500):
+    """A graph of class ``cls`` from a file or folder of the given format."""
+    began = time.perf_counter()
+    if file_format is FileFormat.GRAPH500:
+        edges, count = read_graph500(spark, path)
+        graph = cls.from_edges(edges, node_count=count, layout=layout)
+    elif file_format in (FileFormat.EDGE_LIST, FileFormat.EDGE_LIST_WEIGHTED):
+        graph = cls.from_edges(read_edge_list(spark, path, weighted=file_format is FileFormat.EDGE_LIST_WEIGHTED), layout=layout)
+    elif file_format is FileFormat.LABELLED:
+        found = read_labelled(spark, path)
+        graph = cls.from_edges(found.edges, layout=layout, nodes=found.nodes.select("id", "label"))
+    else:
+        raise GraphError(f"unknown format {file_format}")
+    return replace(graph, load_micros=int((time.perf_counter() - began) * 1e6))
