@@ -108,8 +108,9 @@ def _in_place(graph: DiGraph, config: PageRankConfig) -> tuple[DataFrame, int, f
         frame = frame.sort_values("id")
         sources = [np.array(x if x is not None else [], np.int64) for x in frame["neighbors"]]
         degree = frame["degree"].to_numpy(np.float32)
-        damping, base = np.float32(config.damping_factor), np.float32((1 - config.damping_factor) / n)
-        score = np.full(n, np.float32(1 / n), np.float32)
+        damping = np.float32(config.damping_factor)
+        base = (np.float32(1) - damping) / np.float32(n)
+        score = np.full(n, np.float32(1) / np.float32(n), np.float32)
         with np.errstate(divide="ignore"):
             out = score / degree
             at = 0
@@ -127,6 +128,6 @@ def _in_place(graph: DiGraph, config: PageRankConfig) -> tuple[DataFrame, int, f
                     break
         return pd.DataFrame({"id": np.arange(n), "score": score, "rounds": at, "error": error})
 
-    found = Scratch(graph.spark, "pagerank").keep(lists.groupBy(F.lit(0)).applyInPandas(run, "id long, score float, rounds int, error double"), "scores")
+    found = Scratch(graph.spark, "pagerank").keep(lists.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(run, "id long, score float, rounds int, error double"), "scores")
     last = found.select("rounds", "error").first()
     return found.select("id", "score"), last["rounds"], last["error"]
