@@ -25,6 +25,10 @@ class Layout(enum.Enum):
     SORTED = "Sorted"
     UNSORTED = "Unsorted"
     DEDUPLICATED = "Deduplicated"
+    # The same members in the spelling of the public Python interface.
+    Sorted = "Sorted"
+    Unsorted = "Unsorted"
+    Deduplicated = "Deduplicated"
 
 
 class FileFormat(enum.Enum):
@@ -32,6 +36,8 @@ class FileFormat(enum.Enum):
     EDGE_LIST = "EdgeList"
     EDGE_LIST_WEIGHTED = "EdgeListWeighted"
     LABELLED = "Labelled"
+    Graph500 = "Graph500"
+    EdgeList = "EdgeList"
 
 
 class Direction(enum.Enum):

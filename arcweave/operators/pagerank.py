@@ -37,6 +37,12 @@ class PageRankResult:
     error: float
     micros: int
 
+    def to_numpy(self):
+        """The score of each node by id, as a read-only array on the driver."""
+        array = self.scores.orderBy("id").toArrow()["score"].to_numpy()
+        array.setflags(write=False)
+        return array
+
     def __repr__(self) -> str:
         return f"PageRankResult {{ ran_iterations: {self.ran_iterations}, error: {self.error}, took: {self.micros} us }}"
 

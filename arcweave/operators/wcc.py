@@ -26,6 +26,12 @@ class WccResult:
     components: DataFrame
     micros: int
 
+    def to_numpy(self):
+        """The component of each node by id, as a read-only array on the driver."""
+        array = self.components.orderBy("id").toArrow()["component"].to_numpy()
+        array.setflags(write=False)
+        return array
+
     def __repr__(self) -> str:
         return f"WccResult {{ took: {self.micros} us }}"
 

@@ -117,3 +117,24 @@ def test_streamed_edges(spark, tmp_path):
         append_edges(stream, out, str(tmp_path / "cp")).awaitTermination(60)
         spark.createDataFrame([(2, 3)], "src long, dst long").write.mode("append").parquet(source)
     assert DiGraph.from_edges(spark.read.parquet(out).select("src", "dst")).edge_count == 3
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from arcweave.__main__ import main
+
+    path = written(tmp_path, "a.el", SIX)
+    once = ["--path", path, "--runs", "1", "--warmup-runs", "0"]
+    main(["page-rank", *once, "--max-iterations", "2"])
+    main(["triangle-count", *once, "--relabel"])
+    main(["serialize", *once, "--output", str(tmp_path / "saved")])
+    main(["sssp", "--path", written(tmp_path, "a.wel", "0 1 1.0\n1 2 2.0\n"), "--runs", "1", "--warmup-runs", "0", "--start-node", "0", "--delta", "2"])
+    said = capsys.readouterr().out
+    assert "triangles: 1" in said and "saved DiGraph" in said and "page-rank: mean" in said and "sssp: mean" in said
+
+
+def test_results_as_arrays(spark):
+    g = DiGraph.from_rows(spark, [(0, 1), (2, 3)])
+    assert g.wcc().to_numpy().tolist() == [0, 0, 2, 2]
+    scores = g.page_rank(max_iterations=1).to_numpy()
+    assert len(scores) == 4 and not scores.flags.writeable
+    assert Layout.Sorted is Layout.SORTED and FileFormat.EdgeList is FileFormat.EDGE_LIST
