@@ -31,6 +31,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from arcweave.llm.text import bounded_batches
+
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
 _ROLE_OPEN, _ROLE_CLOSE, _TURN_END = "<s>[INST]", "[/INST]", "</s>"
 _ESCAPED = re.compile(r"(?s)\\(.)")
@@ -115,6 +117,7 @@ class ChatFormatter:
 
     def pack(self, rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
         """Packs of all conversations (see the module for their columns)."""
+        bounded_batches(rows.sparkSession)
         turn = F.struct(
             F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
         )

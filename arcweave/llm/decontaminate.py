@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from arcweave.llm.text import Words, mix, shingles, text_bytes
+from arcweave.llm.text import Words, bounded_batches, mix, shingles, text_bytes
 
 BLOCKS, BLOCK_BITS = 4, 16
 _MATCH = "array<struct<item_id:long,similarity:double,start_word:long,n_words:long>>"
@@ -154,6 +154,7 @@ class Decontaminator:
 
     def match(self, docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
         """``(row, matches)`` for every document; ``row`` holds every input column."""
+        bounded_batches(docs.sparkSession)
         items = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("text"))
         blocks = max(1, -(-items.count() // self.block_items))
         kind = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row")).schema["row"].dataType.simpleString()

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from arcweave.llm.text import WHITE, Words, mix, text_bytes
+from arcweave.llm.text import WHITE, Words, bounded_batches, mix, text_bytes
 from arcweave.operators.storage import Scratch
 
 _SYMBOL = np.zeros(256, bool)
@@ -84,6 +84,7 @@ class HostQuality:
         self.reject_above = reject_above
 
     def measure(self, docs: DataFrame, text_col: str, host_col: str, carry: list[str]) -> DataFrame:
+        bounded_batches(docs.sparkSession)
         packed = docs.select(F.struct(*(docs[c] for c in carry)).alias("row"), F.col(text_col).cast("string").alias("text"), F.col(host_col).cast("string").alias("host"))
         kind = packed.schema["row"].dataType.simpleString()
         return packed.mapInArrow(_measure, f"row {kind}, host string, " + ", ".join(f"{m} long" for m in MEASURES))

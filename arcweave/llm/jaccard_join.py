@@ -33,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from arcweave.llm.text import Words, shingles, text_bytes
+from arcweave.llm.text import Words, bounded_batches, shingles, text_bytes
 from arcweave.operators.components import star_labels
 from arcweave.operators.storage import Scratch
 
@@ -172,6 +172,7 @@ class JaccardJoin:
         The links are those found; pairs inside a group that leader links
         already join are not listed, so they span each group exactly.
         """
+        bounded_batches(docs.sparkSession)
         source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
         keyed = source.withColumn("text_key", text_key("text"))
         ids = scratch.keep(keyed.mapInArrow(_class_rows(self.k), "id long, text_key long, n long, cls long"), "ids")

@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from arcweave.llm.text import bounded_batches
 from arcweave.operators.storage import Scratch
 
 _KEY = ["h1", "h2"]
@@ -149,6 +150,7 @@ class LineDedup:
 
     def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """``(row, n_lines, n_dropped, kept)``; ``row`` holds every input column."""
+        bounded_batches(docs.sparkSession)
         scratch = Scratch(docs.sparkSession, "lines")
         source = docs.select(_doc_key(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
         lines = source.mapInArrow(_line_rows(self.min_chars), "doc long, h1 long, h2 long")

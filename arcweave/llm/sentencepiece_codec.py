@@ -24,13 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from arcweave.llm.text import bounded_batches
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _NO_PAIR = np.iinfo(np.int64).max
 _CODE_POINTS = 0x110000
 #: Distinct words kept between chunks of one task.
-CACHE_WORDS = 1_000_000
-_CHUNK_CHARS = 1 << 20
+CACHE_WORDS = 250_000
+_CHUNK_CHARS = 1 << 19
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -312,6 +314,7 @@ def encode_and_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id",
     The model file is read on the driver and travels with the task (its size is
     that of the vocabulary and does not depend on the data).
     """
+    bounded_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         model = f.read()
 

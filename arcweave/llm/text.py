@@ -26,10 +26,23 @@ WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes handled at once; one longer text is handled alone, and whole.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
+#: Rows of an Arrow batch of texts, where the session has not chosen a number itself.
+BATCH_ROWS = 1000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _powers: list[np.ndarray] = []
 
 
+def bounded_batches(spark) -> None:
+    """Keep Arrow batches of whole texts small: Spark's default of 10,000 rows suits numbers.
+
+    Both sides of the Python boundary hold a batch twice, so this bounds what each
+    task needs outside the heap.
+    """
+    if spark.conf.get(_BATCH_KEY) == "10000":
+        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
+
+
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         size = max(n, CHUNK_BYTES + (1 << 16))

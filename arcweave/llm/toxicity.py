@@ -28,6 +28,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
+from arcweave.llm.text import bounded_batches
+
 _TRIM = b".,;:!?\"'()[]{}|%*#&$<>"
 WINDOW, STRIDE = 48, 36
 #: Stands at the end of both dictionaries and before every window, so that each
@@ -202,6 +204,7 @@ class ToxicityClassifier:
 
     def score(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """``(row, score)``; ``row`` holds every input column."""
+        bounded_batches(docs.sparkSession)
         model = self.model
 
         def run(batches):

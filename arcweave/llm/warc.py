@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from arcweave.llm.text import bounded_batches
+
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _FILES = "name string, records long, bytes long, sha1 string"
@@ -122,6 +124,7 @@ class WarcWriter:
     def write(self, pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> dict:
         """Write all pages below ``path``; returns the manifest that was committed there."""
         spark = pages.sparkSession
+        bounded_batches(spark)
         shards = self.shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
         payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
         rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
