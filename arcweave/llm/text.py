@@ -125,7 +125,7 @@ def shingles(words: Words, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     if not n:
         return np.zeros(0, np.uint64), bounds
     total = np.zeros(n, np.uint64)
-    for j in range(k):
+    for j in range(min(k, n)):
         total[: n - j] += hashes[j:] * _SLOT_HASH[j]
     first = words.bounds[:-1]
     at = np.repeat(first, sizes) + np.arange(bounds[-1]) - np.repeat(bounds[:-1], sizes)
