@@ -1,8 +1,10 @@
 """Global triangle count.
 
 Edges are de-duplicated and directed from the end of lower (degree, id) to the
-other, which bounds every out-degree by sqrt(2m) however skewed the degrees are.
-Wedges at the lower end meet the closing edge in a semi join.
+other, which bounds every list of targets by sqrt(2m) however skewed the degrees
+are.  Each edge carries its source's list to its target, where the intersection
+with the target's list is counted: one shuffle of packed ids instead of one row
+for each pair of edges.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from arcweave.operators.model import Graph, WrongGraphType
+from arcweave.operators.storage import Scratch
 
 
 @dataclass(frozen=True)
@@ -26,17 +29,18 @@ class TriangleCountResult:
 
 def triangle_total(graph: Graph) -> DataFrame:
     """One row ``(triangles)``: unordered triples of mutually linked nodes."""
-    stored = graph.stored_edges().where("src <> dst").select("src", "dst").distinct()
-    degree = stored.groupBy("src").agg(F.count("*").alias("d"))
-    a = degree.select(F.col("src"), F.col("d").alias("da"))
-    b = degree.select(F.col("src").alias("dst"), F.col("d").alias("db"))
-    ranked = stored.join(a, "src").join(b, "dst")
-    up = ranked.where("da < db or (da = db and src < dst)").select("src", "dst", "db")
-    left = up.select("src", F.col("dst").alias("v"), F.col("db").alias("dv"))
-    right = up.select("src", F.col("dst").alias("w"), F.col("db").alias("dw"))
-    wedges = left.join(right, "src").where("dv < dw or (dv = dw and v < w)")
-    closing = up.select(F.col("src").alias("v"), F.col("dst").alias("w"))
-    return wedges.join(closing, ["v", "w"], "left_semi").agg(F.count("*").alias("triangles"))
+    pairs = graph.edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    pairs = Scratch(graph.spark, "triangles").keep(pairs, "pairs")
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
+    ranked = pairs.join(degree.select(F.col("id").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("id").alias("b"), F.col("d").alias("db")), "b")
+    # The smaller id is always in a, so equal degrees go from a to b.
+    low = F.col("da") <= F.col("db")
+    up = ranked.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("src"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("dst"))
+    lists = up.groupBy("src").agg(F.collect_list("dst").alias("targets"))
+    carried = lists.select(F.explode("targets").alias("v"), F.col("targets").alias("of_source"))
+    met = carried.join(lists.withColumnRenamed("src", "v"), "v")
+    common = F.size(F.array_intersect("of_source", "targets")).cast("long")
+    return met.agg(F.coalesce(F.sum(common), F.lit(0)).cast("long").alias("triangles"))
 
 
 def multigraph_total(graph: Graph) -> DataFrame:

@@ -369,7 +369,7 @@ _MOD20_WEIGHTS = "SELECT src, dst, CAST(min(value) AS FLOAT) AS w FROM chain WHE
 
 @_query(_distance_sql(_ALL_WEIGHTS, "SELECT id, distance FROM far", 40))
 def sssp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delta_stepping(_chain(spark, sf_dir), DeltaSteppingConfig(0, 16.0)).distances
+    return delta_stepping(_chain(spark, sf_dir), DeltaSteppingConfig(0, 64.0)).distances
 
 
 @_query(_distance_sql(_MOD20_WEIGHTS, "SELECT id, distance FROM far", 60))
@@ -380,14 +380,15 @@ def sssp_unreachable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_distance_sql(_ALL_WEIGHTS, "SELECT count(*) AS reached, CAST(sum(distance) AS DOUBLE) AS total, max(distance) AS farthest FROM far WHERE distance < 20000", 40))
 def sssp_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = delta_stepping(_chain(spark, sf_dir), DeltaSteppingConfig(0, 16.0)).distances.where("distance < 20000")
+    near = delta_stepping(_chain(spark, sf_dir), DeltaSteppingConfig(0, 64.0)).distances.where("distance < 20000")
     return near.agg(F.count("*").alias("reached"), F.sum(F.col("distance").cast("double")).alias("total"), F.max("distance").alias("farthest"))
 
 
 @_query(f"""WITH {COPURCHASE}, u AS MATERIALIZED (SELECT DISTINCT src, dst FROM co)
 SELECT count(*) AS triangles FROM u a JOIN u b ON a.dst = b.src JOIN u c ON c.src = a.src AND c.dst = b.dst""")
 def triangles_copurchase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return triangles.triangle_total(Graph.from_edges(sets.copurchase(spark, sf_dir), layout=Layout.DEDUPLICATED))
+    parts = sets.table(spark, sf_dir, "part").count()
+    return triangles.triangle_total(Graph.from_edges(sets.copurchase(spark, sf_dir), node_count=parts, layout=Layout.DEDUPLICATED))
 
 
 @_query(f"""WITH {CHAIN}, b AS (SELECT src, dst FROM chain UNION ALL SELECT dst, src FROM chain),
