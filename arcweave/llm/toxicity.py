@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from arcweave.llm.text import bounded_batches
 
 _TRIM = b".,;:!?\"'()[]{}|%*#&$<>"
-WINDOW, STRIDE = 48, 36
+WINDOW, STRIDE = 64, 48
 #: Stands at the end of both dictionaries and before every window, so that each
 #: frame holds a compressed block: zstandard stores tiny blocks that hardly shrink
 #: as they are, which would hide what the window itself gains.
