@@ -133,5 +133,6 @@ def shingles(words: Words, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     for row in np.flatnonzero((counts > 0) & (counts < k)):
         m = counts[row]
         part = hashes[first[row] : first[row] + m]
-        out[bounds[row]] = (part * _SLOT_HASH[:m]).sum(dtype=np.uint64) + _SLOT_HASH[k + m]
+        # The length's own term keeps apart sequences of different lengths; sums wrap.
+        out[bounds[row]] = np.append(part * _SLOT_HASH[:m], _SLOT_HASH[k + m]).sum(dtype=np.uint64)
     return mix(out), bounds
