@@ -162,7 +162,10 @@ class LineDedup:
         runs = LineRuns(scratch, self.fanout)
         for b in range(self.batches):
             runs.add(lines.where(F.col("batch") == b).select("doc", *_KEY).distinct())
-        frequent = runs.totals().where(F.col("n_docs") >= self.min_docs).select(*_KEY, "last_doc")
+        # Kept as a table, so that the join below has two plain inputs: a small one is
+        # broadcast, and otherwise the partitions of a hot line can be split.
+        frequent = scratch.keep(runs.totals().where(F.col("n_docs") >= self.min_docs).select(*_KEY, "last_doc"), "frequent")
+        scratch.drop(*runs.tables)
         drops = lines.join(frequent, _KEY).where("doc < last_doc").groupBy("doc").agg(F.collect_set(F.struct(*_KEY)).alias("drops"))
         packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), _doc_key(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
         joined = packed.join(drops, "doc", "left").select("row", "text", "drops")
