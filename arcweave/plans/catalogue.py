@@ -11,7 +11,7 @@ from arcweave.operators.pagerank import PageRankConfig, fixed_rounds, page_rank
 from arcweave.operators.paths import UNREACHABLE, DeltaSteppingConfig, delta_stepping
 from arcweave.operators.storage import Scratch
 from arcweave.plans import edge_sets as sets
-from arcweave.plans.edge_sets import CHAIN, CHAIN_NODES, COPURCHASE, CS_NODES, CUSTOMER_SUPPLIER, HANDOVER, PARTY_LABELS
+from arcweave.plans.edge_sets import CHAIN, CHAIN_NODES, COPURCHASE, CS_NODES, CUSTOMER_ORDERS, CUSTOMER_SUPPLIER, HANDOVER, PARTY_LABELS
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -345,6 +345,51 @@ def remaining_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.remaining_edges(edges, found, top["component"])
 
 
+#: Whole edge sets of large tables, without any filter, and their SQL.
+WHOLE = {
+    "part_chain": (sets.part_chain, "SELECT src, dst FROM chain"),
+    "customer_supplier": (sets.customer_supplier, f"WITH {CUSTOMER_SUPPLIER} SELECT src, dst FROM cs"),
+    "customer_orders": (sets.customer_orders, f"WITH {CUSTOMER_ORDERS} SELECT src, dst FROM co"),
+    "handover": (sets.handover, f"WITH {HANDOVER} SELECT src, dst FROM hand"),
+}
+
+
+def _register_whole(name: str, edges_of, sql: str) -> None:
+    """The four component queries over one whole edge set."""
+
+    def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return edges_of(spark, sf_dir).select("src", "dst")
+
+    def wcc(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return components.component_ids(DiGraph.from_edges(edges(spark, sf_dir)))
+
+    def component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return wcc(spark, sf_dir).groupBy("component").agg(F.count("*").alias("size"))
+
+    def largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return components.largest_component(wcc(spark, sf_dir))
+
+    def remaining_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = Scratch(spark, "remaining").keep(wcc(spark, sf_dir), "components")
+        top = components.largest_component(found).first()
+        return components.remaining_edges(edges(spark, sf_dir), found, top["component"])
+
+    tails = {
+        wcc: "SELECT id, component FROM comp",
+        component_sizes: "SELECT component, count(*) AS size FROM comp GROUP BY component",
+        largest_component: "SELECT component, count(*) AS size FROM comp GROUP BY component ORDER BY size DESC, component LIMIT 1",
+        remaining_edges: """, top AS (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)
+SELECT e.src, e.dst FROM e JOIN comp ON comp.id = e.src WHERE comp.component <> (SELECT component FROM top)""",
+    }
+    for query, tail in tails.items():
+        query.__name__ = f"{query.__name__}_{name}"
+        _query(_labels_sql(sql, tail))(query)
+
+
+for _name, (_edges_of, _sql) in WHOLE.items():
+    _register_whole(_name, _edges_of, _sql)
+
+
 @_query(f"""WITH {HANDOVER}, d AS (SELECT src, count(*) AS c FROM hand GROUP BY src), r AS (
 SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS pos FROM (SELECT DISTINCT src, dst FROM hand))
 SELECT src, dst, pos FROM r WHERE pos <= 2""")
@@ -378,6 +423,12 @@ def sssp_unreachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delta_stepping(DiGraph.from_edges(sets.chain_mod20(spark, sf_dir)), DeltaSteppingConfig(0, 64.0)).distances
 
 
+@_query(_distance_sql(f"WITH {CUSTOMER_SUPPLIER} SELECT src, dst, CAST(min(value) AS FLOAT) AS w FROM cs GROUP BY src, dst", "SELECT id, distance FROM far", 2))
+def sssp_customer_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the suppliers of customer 0 can be reached; suppliers have no way on."""
+    return delta_stepping(DiGraph.from_edges(sets.customer_supplier(spark, sf_dir)), DeltaSteppingConfig(0, 64.0)).distances
+
+
 @_query(_distance_sql(_ALL_WEIGHTS, "SELECT count(*) AS reached, CAST(sum(distance) AS DOUBLE) AS total, max(distance) AS farthest FROM far WHERE distance < 20000", 40))
 def sssp_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = delta_stepping(_chain(spark, sf_dir), DeltaSteppingConfig(0, 64.0)).distances.where("distance < 20000")

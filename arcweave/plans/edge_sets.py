@@ -42,6 +42,16 @@ CUSTOMER_SUPPLIER = """cs AS MATERIALIZED (SELECT o_custkey AS src, l_suppkey +
 CS_NODES = "n AS MATERIALIZED (SELECT unnest(range(0, (SELECT max(greatest(src, dst)) + 1 FROM cs))) AS id)"
 
 
+def customer_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers to their orders; orders follow the customers' ids."""
+    customers = table(spark, sf_dir, "customer").agg(F.count("*").alias("n"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return orders.crossJoin(F.broadcast(customers)).select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + F.col("n")).alias("dst"))
+
+
+CUSTOMER_ORDERS = "co AS MATERIALIZED (SELECT o_custkey AS src, o_orderkey + (SELECT count(*) FROM customer) AS dst FROM orders)"
+
+
 def copurchase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of parts of one order, the smaller first."""
     parts = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
