@@ -1,6 +1,8 @@
 """Benchmark decontamination by SimHash windows and exact verification.
 
-A document window has as many words as a benchmark item.  Windows that hold a
+A document window has as many words as a benchmark item; a document with fewer
+words than an item is one window, compared with each longer item that could
+still reach the threshold.  Windows that hold a
 shingle of any item are fingerprinted with a 64-bit SimHash over weighted
 shingles (the weight is the shingle's count; a window that shares no shingle
 with any item has similarity 0).  Fingerprints of items of the same length are
@@ -14,7 +16,8 @@ Items come to the tasks in blocks of at most ``block_items``, one pass each, so
 memory does not depend on the number of items.
 
 Defined results: words are Unicode lower-cased; an item or window of fewer than
-``k`` words is one shingle; null and blank items and texts match nothing; repeated
+``k`` words is one shingle (windows inside a longer document are compared with
+such items only if ``short_windows`` is set, by equality); null and blank items and texts match nothing; repeated
 items match each under its own id (a null id stays null); repeated rows repeat
 their matches; empty tables give empty results; input columns travel in ``row``.
 """
@@ -62,17 +65,26 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
 class ItemIndex:
     """Multi-index of the items of one block, by their number of words."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], k: int, radius: int):
+    def __init__(self, items: list[tuple[int | None, str | None]], k: int, radius: int, short_windows: bool = False):
         self.k, self.radius = k, radius
         self.ids = [i for i, _ in items]
         texts = pa.array([(t or "").lower() for _, t in items], pa.large_string())
         self.grams: list[np.ndarray] = []
         lengths: list[int] = []
-        for _, _, data, offsets in text_bytes(texts):
+        #: Number of words to {window's shingle: items}, for items of fewer than k words.
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for first, _, data, offsets in text_bytes(texts):
             words = Words(data, offsets)
-            grams, bounds = shingles(words, words.hashes(), k)
+            hashes = words.hashes()
+            grams, bounds = shingles(words, hashes, k)
             self.grams += [grams[bounds[i] : bounds[i + 1]] for i in range(len(offsets) - 1)]
-            lengths += np.diff(words.bounds).tolist()
+            counts = np.diff(words.bounds)
+            lengths += counts.tolist()
+            for n in set(counts[(counts > 0) & (counts < k)].tolist()) if short_windows else ():
+                whole, at = shingles(words, hashes, n)
+                for i in np.flatnonzero(counts == n):
+                    self.short.setdefault(n, {}).setdefault(int(whole[at[i]]), []).append(first + int(i))
+        self.short_keys = {n: np.sort(np.array(list(held), np.uint64)) for n, held in self.short.items()}
         everything = [g for g in self.grams if len(g)]
         self.known = np.unique(np.concatenate(everything)) if everything else np.zeros(0, np.uint64)
         self.coarse = np.zeros(1 << 20, bool)
@@ -121,8 +133,13 @@ class ItemIndex:
         best: dict[int, tuple[float, int, int]] = {}
         for length in self.by_length:
             width = max(1, length - self.k + 1)
-            if length > n_words or (length < self.k and n_words != length):
-                continue
+            if length < self.k and n_words != length:
+                continue  # several windows: short_matches
+            if length > n_words:
+                # The document is one window; at most all its shingles are shared.
+                if n_words < self.k or len(grams) / width < least:
+                    continue
+                width = len(grams)
             edge = np.zeros(len(grams) + 1, np.int64)
             np.add.at(edge, np.maximum(found - width + 1, 0), 1)
             np.add.at(edge, found + 1, -1)
@@ -138,19 +155,38 @@ class ItemIndex:
                     start = int(part[w])
                     similarity = weighted_jaccard(grams[start : start + width], self.grams[item])
                     if similarity >= least and (item not in best or similarity > best[item][0]):
-                        best[item] = (similarity, start, length)
+                        best[item] = (similarity, start, min(length, n_words))
         return [{"item_id": self.ids[i], "similarity": s, "start_word": a, "n_words": n} for i, (s, a, n) in sorted(best.items())]
 
+    def short_matches(self, words: Words, hashes: np.ndarray) -> list[tuple[int, dict]]:
+        """(row, match) of items of fewer than k words inside longer rows: their first window."""
+        out = []
+        counts = np.diff(words.bounds)
+        for n, keys in self.short_keys.items():
+            grams, bounds = shingles(words, hashes, n)
+            places = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, grams), len(keys) - 1)] == grams)
+            rows = np.searchsorted(bounds, places, "right") - 1
+            longer = counts[rows] > n
+            places, rows = places[longer], rows[longer]
+            _, firsts = np.unique(np.stack([rows.astype(np.uint64), grams[places]]), axis=1, return_index=True)
+            for row, place in zip(rows[firsts].tolist(), places[firsts].tolist(), strict=True):
+                for item in self.short[n][int(grams[place])]:
+                    out.append((row, {"item_id": self.ids[item], "similarity": 1.0, "start_word": place - int(bounds[row]), "n_words": n}))
+        return out
+
 
 def _block(prints: np.ndarray, block: int) -> np.ndarray:
     return ((prints >> np.uint64(BLOCK_BITS * block)) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
 class Decontaminator:
-    """Find benchmark items in documents at weighted shingle similarity ``least``."""
+    """Find benchmark items in documents at weighted shingle similarity ``least``.
+
+    ``short_windows`` also finds items of fewer than ``k`` words inside longer documents.
+    """
 
-    def __init__(self, k: int = 5, least: float = 0.8, radius: int = 19, block_items: int = 20_000):
-        self.k, self.least, self.radius, self.block_items = k, least, radius, block_items
+    def __init__(self, k: int = 5, least: float = 0.8, radius: int = 19, block_items: int = 20_000, short_windows: bool = False):
+        self.k, self.least, self.radius, self.block_items, self.short_windows = k, least, radius, block_items, short_windows
 
     def match(self, docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
         """``(row, matches)`` for every document; ``row`` holds every input column."""
@@ -161,7 +197,7 @@ class Decontaminator:
         out = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col(text_col).cast("string").alias("text"), F.expr(f"CAST(array() AS {_MATCH})").alias("matches"))
         for block in range(blocks):
             rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).orderBy("id", "text").toArrow()
-            index = ItemIndex(list(zip(rows["id"].to_pylist(), rows["text"].to_pylist(), strict=True)), self.k, self.radius)
+            index = ItemIndex(list(zip(rows["id"].to_pylist(), rows["text"].to_pylist(), strict=True)), self.k, self.radius, self.short_windows)
             shared = docs.sparkSession.sparkContext.broadcast(index)
             out = out.mapInArrow(_match_rows(shared, self.k, self.least), f"row {kind}, text string, matches {_MATCH}")
         return out.drop("text")
@@ -175,12 +211,15 @@ def _match_rows(shared, k: int, least: float):
             lowered = pa.array([(t.as_py() or "").lower() for t in batch.column(1)], pa.large_string())
             for first, _, data, offsets in text_bytes(lowered):
                 words = Words(data, offsets)
-                grams, bounds = shingles(words, words.hashes(), k)
+                hashes = words.hashes()
+                grams, bounds = shingles(words, hashes, k)
                 found = np.flatnonzero(index.hits(grams))
                 for i in np.unique(np.searchsorted(bounds, found, "right") - 1):
                     lo, hi = bounds[i], bounds[i + 1]
                     inside = found[(found >= lo) & (found < hi)] - lo
                     before[first + i] = (before[first + i] or []) + index.matches(grams[lo:hi], int(words.bounds[i + 1] - words.bounds[i]), inside, least)
+                for i, match in index.short_matches(words, hashes):
+                    before[first + i] = (before[first + i] or []) + [match]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(before, _MATCH_TYPE)], ["row", "text", "matches"])
 
     return run

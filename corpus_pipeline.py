@@ -44,7 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = Decontaminator().match(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = Decontaminator(short_windows=True).match(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.where(F.size("matches") == 0).select("row.*")
 
 
