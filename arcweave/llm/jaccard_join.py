@@ -16,7 +16,9 @@ is counted on its own and the partial counts are summed per document or pair:
 Copies with equal n-gram sets form one class that is compared once.  Within a
 bucket, all members are first compared with one leader; only members that end
 in different groups then meet each other, so a group of mutual near copies
-costs a number of pairs in proportion to its size.  Nothing is capped.
+costs a number of pairs in proportion to its size.  The other links inside the
+groups are found only on request (``links(every=True)``, ``n_links``).  Nothing
+is capped.
 
 Defined results: null or blank text has an empty set and is linked with
 nothing; repeated rows and repeated ids are separate rows of one class; a null
@@ -41,6 +43,8 @@ FRAGMENTS = 4
 #: Bits of the filter of live classes that goes to every task: 2 MB at any input
 #: size.  It only spares work; what it lets through is joined exactly afterwards.
 FILTER_BITS = 1 << 24
+#: Members of a bucket for each task that pairs it inside groups.
+BUCKET_ROWS = 1000
 _SETS_SCHEMA = "cls long, n long, " + ", ".join(f"t{f} array<long>" for f in range(FRAGMENTS))
 
 
@@ -166,11 +170,13 @@ class JaccardJoin:
         counted = both.select("a", "b", "na", "nb", reduce(lambda x, y: x + y, partial).alias("shared"))
         return counted.where(f"{self.den} * shared >= {self.num} * (na + nb - shared)").select("a", "b", "shared", "na", "nb")
 
-    def links(self, docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    def links(self, docs: DataFrame, id_col: str, text_col: str, scratch: Scratch, every: bool = False) -> tuple[DataFrame, DataFrame]:
         """``(classes(id, text_key, n, cls), links(a, b))``: rows with their class, and class pairs.
 
-        The links are those found; pairs inside a group that leader links
-        already join are not listed, so they span each group exactly.
+        By default pairs inside a group that leader links already join are not
+        listed: the links span each group exactly, which is all that components
+        need.  With ``every`` all linked pairs are verified and listed, each once;
+        texts of one class are linked without being listed.
         """
         bounded_batches(docs.sparkSession)
         source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -213,7 +219,32 @@ class JaccardJoin:
         cross = placed.alias("x").join(placed.alias("y"), F.expr(f"x.tok = y.tok and x.cls < y.cls and x.grp <> y.grp and {size_ok} and {room_ok}"))
         cross = cross.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
         cross_links = scratch.keep(self._verified(cross, sets), "cross_links")
-        return ids, star_links.unionByName(cross_links)
+        if not every:
+            return ids, star_links.unionByName(cross_links)
+        # A bucket's pairs are dealt over as many tasks as it has thousands of members.
+        salts = placed.groupBy("tok").agg(F.expr(f"cast(count(*) div {BUCKET_ROWS} as int)").alias("more"))
+        salted = placed.join(salts, "tok")
+        one = salted.withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("more") + 1).cast("int"))
+        other = salted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("more"))))
+        inside = one.alias("x").join(other.alias("y"), F.expr(f"x.tok = y.tok and x.salt = y.salt and x.cls < y.cls and x.grp = y.grp and {size_ok} and {room_ok}"))
+        inside = inside.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+        inside_links = scratch.keep(self._verified(inside, sets), "inside_links")
+        return ids, inside_links.unionByName(cross_links)
+
+    def n_links(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """``(id, text_key, n, n_links)`` per row: how many other texts it is linked with.
+
+        Every link between two different texts counts, also those inside a group and
+        those between texts with equal n-gram sets; rows that repeat a text do not.
+        """
+        scratch = Scratch(docs.sparkSession, "n-links")
+        ids, links = self.links(docs, id_col, text_col, scratch, every=True)
+        texts = ids.where("n > 0").groupBy("cls").agg(F.count_distinct("text_key").alias("texts"))
+        both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.join(texts.withColumnRenamed("cls", "b"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("texts").alias("near"))
+        counted = texts.join(near, "cls", "left").select("cls", (F.col("texts") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+        out = ids.join(counted, "cls", "left")
+        return out.select("id", "text_key", "n", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
     def components(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """``(id, text_key, n, grp, component)`` per row.
