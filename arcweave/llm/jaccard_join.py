@@ -141,6 +141,11 @@ def text_key(column: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
 
+def has_words(column: str) -> Column:
+    """Whether a text has a word, and so a set that is not empty."""
+    return F.coalesce(F.col(column).cast("string"), F.lit("")).rlike("[^ \\x09-\\x0D]")
+
+
 class JaccardJoin:
     """Link texts whose ``k``-word shingle sets have Jaccard ``>= num / den``."""
 
@@ -266,15 +271,15 @@ class JaccardJoin:
     def one_per_group(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """The rows of ``docs`` with the smallest id of each linked group.
 
-        Rows that repeat an id and its text are one document; texts with an empty
-        set are linked with nothing, so all of them stay.  A null id counts as the
-        largest.
+        Rows of a linked group that repeat an id and its text are one document; texts
+        with an empty set are linked with nothing, so all their rows stay as they are.
+        A null id counts as the largest.
         """
         scratch = Scratch(docs.sparkSession, "one-per-group")
         found = self.components(docs, id_col, text_col)
         order = F.struct(F.coalesce("id", F.lit(2**63 - 1)).alias("k1"), F.col("text_key").alias("k2"))
         first = found.where("grp is not null").groupBy("grp").agg(F.min(order).alias("w")).select("w.k1", "w.k2")
-        empty = found.where("grp is null").select(order.alias("w")).select("w.k1", "w.k2").distinct()
-        stay = scratch.keep(first.unionByName(empty), "stay")
-        packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("k1"), text_key(text_col).alias("k2"))
-        return packed.join(stay, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("row.*")
+        stay = scratch.keep(first, "stay")
+        packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("k1"), text_key(text_col).alias("k2"), has_words(text_col).alias("filled"))
+        linked = packed.where("filled").join(stay, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+        return linked.select("row.*").unionByName(packed.where("not filled").select("row.*"))
