@@ -4,10 +4,12 @@ Words are lower-cased runs of letters and digits; shingles have ``k`` words.
 Templates are put into classes by length; a class has windows of twice its
 length at every multiple of it, so each occurrence lies whole in one window.
 Shingles of no template cannot add to a containment and are left out of the
-window sets.  A window and a template of its class are compared if any of
-``bands`` one-row MinHash bands agrees: with Jaccard similarity s of the two sets
-they meet with probability 1 - (1 - s) ** bands, 0.9999 at s = 0.18 and more than 0.98
-at s = 0.08 for the default 48 bands.  Candidates are verified by exact
+window sets.  A window and a template of its class are compared if any of the
+class's one-row MinHash bands agrees: with Jaccard similarity s of the two sets
+they meet with probability 1 - (1 - s) ** bands.  A class has ``bands`` bands, or as
+many more as its smallest template needs to meet a full window with probability
+``MEET``: s is 1/32 for one shingle among the 32 of a window of the smallest
+class.  Candidates are verified by exact
 containment: the share of the template's shingles in the window.
 
 Defined results: null, empty and short texts match nothing; a template needs at
@@ -18,6 +20,7 @@ empty result; only the two named columns are read.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -35,6 +38,8 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
 )
+#: Least probability that a window meets a template that it contains.
+MEET = 0.999
 _SEPARATORS = r"[^\p{L}\p{N}]+"
 
 
@@ -68,13 +73,35 @@ class LicenseScan:
         # As a lambda's argument the words are made once, not for each shingle.
         return F.get(F.transform(F.array(words), hashed), F.lit(0))
 
+    def class_bands(self) -> dict[int, int]:
+        """Number of bands of each size class."""
+        sizes: dict[int, list[int]] = {}
+        known: dict[int, set] = {}
+        for _, text in self.templates:
+            words = re.findall(r"[^\W_]+", text.lower())
+            wanted = {tuple(words[i : i + self.k]) for i in range(len(words) - self.k + 1)}
+            sizes.setdefault(self.size_class(len(words)), []).append(len(wanted))
+            known.setdefault(self.size_class(len(words)), set()).update(wanted)
+        out = {}
+        for size, counts in sizes.items():
+            held = min(2 * size, len(known[size]))
+
+            def least_similarity(n: int) -> float:
+                shared = math.ceil(self.least * n - 1e-9)
+                return shared / max(n, held + n - shared)
+
+            s = min(map(least_similarity, counts))
+            out[size] = max(self.bands, math.ceil(math.log(1 - MEET) / math.log1p(-s)) if 0 < s < 1 else 1)
+        return out
+
     def _bands(self, grams: Column) -> Column:
         """(band, smallest hash of the set under the band's hash function)."""
+        last = F.expr("CASE class " + " ".join(f"WHEN {c} THEN {n - 1}" for c, n in self.class_bands().items()) + " END")
 
-        def lowest(band: int) -> Column:
-            return F.array_min(F.transform(grams, lambda x: F.xxhash64(x, F.lit(band))))
+        def lowest(band: Column) -> Column:
+            return F.array_min(F.transform(grams, lambda x: F.xxhash64(x, band)))
 
-        return F.array(*(F.struct(F.lit(b).alias("band"), lowest(b).alias("low")) for b in range(self.bands)))
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.struct(b.alias("band"), lowest(b).alias("low")))
 
     def _template_table(self, spark: SparkSession) -> DataFrame:
         rows = [(i, name, text, self.size_class(len(re.findall(r"[^\W_]+", text)))) for i, (name, text) in enumerate(self.templates)]
