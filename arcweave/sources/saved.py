@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 
 from arcweave.operators.model import DiGraph, Graph, InvalidIdType, Layout
 
 
-def save(graph, path: str) -> None:
+def save(network, path: str) -> None:
     """Write edges, node values and description below ``path``."""
-    graph.edges.write.mode("overwrite").parquet(f"{path}/edges")
-    if graph.nodes is not None:
-        graph.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-    about = [(type(graph).__name__, graph.node_count, graph.layout.value, graph.nodes is not None, graph.adjacency_list)]
-    graph.spark.createDataFrame(about, "kind string, node_count long, layout string, has_nodes boolean, adjacency_list boolean").coalesce(1).write.mode("overwrite").json(f"{path}/about")
+    network.edges.write.mode("overwrite").parquet(f"{path}/edges")
+    if _has_own_stored(network):
+        network.stored_edges().write.mode("overwrite").parquet(f"{path}/stored")
+    if network.nodes is not None:
+        network.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    about = [(type(network).__name__, network.node_count, network.layout.value, network.nodes is not None, network.adjacency_list)]
+    network.spark.createDataFrame(about, "kind string, node_count long, layout string, has_nodes boolean, adjacency_list boolean").coalesce(1).write.mode("overwrite").json(f"{path}/about")
+
+
+def _has_own_stored(network) -> bool:
+    """Whether the stored edges are more than the edges read from both ends."""
+    return not network.directed and network.layout is Layout.DEDUPLICATED
 
 
 def _checked(table: DataFrame) -> DataFrame:
@@ -23,9 +32,13 @@ def _checked(table: DataFrame) -> DataFrame:
 
 
 def restore(spark: SparkSession, path: str):
-    """The graph that :func:`save` wrote; layout and values as they were."""
+    """The network that :func:`save` wrote; layout and values as they were."""
     about = spark.read.schema("kind string, node_count long, layout string, has_nodes boolean, adjacency_list boolean").json(f"{path}/about").first()
     cls = {"DiGraph": DiGraph, "Graph": Graph}[about["kind"]]
     nodes = spark.read.parquet(f"{path}/nodes") if about["has_nodes"] else None
     edges = _checked(spark.read.parquet(f"{path}/edges"))
-    return cls(edges, about["node_count"], Layout.UNSORTED, nodes, about["adjacency_list"]).with_layout(Layout(about["layout"]))
+    # The edges are as the layout and later insertions left them: it is not applied again.
+    network = cls(edges, about["node_count"], Layout(about["layout"]), nodes, about["adjacency_list"])
+    if _has_own_stored(network):
+        return replace(network, _stored=_checked(spark.read.parquet(f"{path}/stored")))
+    return network
