@@ -1,6 +1,6 @@
-"""Command line: time loading, algorithms and saving on a graph file.
+"""Command line: time loading, algorithms and saving on a network file.
 
-    python -m arcweave page-rank --path graph.el --format edge-list --runs 3
+    python -m arcweave page-rank --path network.el --format edge-list --runs 3
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ import argparse
 import logging
 import time
 
-from arcweave.operators.model import DiGraph, FileFormat, Graph, Layout
+from arcweave.operators.model import DiGraph, FileFormat, Graph, InvalidIdType, Layout
 from arcweave.operators.pagerank import PageRankConfig, page_rank
 from arcweave.operators.paths import DeltaSteppingConfig, delta_stepping
 from arcweave.operators.triangles import triangle_total
@@ -46,7 +46,8 @@ def main(arguments: list[str] | None = None) -> None:
         c = commands.add_parser(name)
         c.add_argument("-p", "--path", required=True)
         c.add_argument("-f", "--format", choices=_FORMATS, default="edge-list")
-        c.add_argument("-g", "--graph", choices=("csr", "adjacency-list"), default="csr")
+        c.add_argument("-g", "--network", choices=("csr", "adjacency-list"), default="csr")
+        c.add_argument("--use-32-bit", action="store_true", help="fail where an id does not fit into 32 bits")
         c.add_argument("-r", "--runs", type=int, default=1)
         c.add_argument("-w", "--warmup-runs", type=int, default=5)
         if name == "page-rank":
@@ -76,31 +77,33 @@ def main(arguments: list[str] | None = None) -> None:
     layout = Layout.DEDUPLICATED if a.command == "triangle-count" else Layout.SORTED
 
     def load():
-        graph = (Graph if undirected else DiGraph).load(spark, a.path, Layout.UNSORTED, file_format)
-        if a.graph == "adjacency-list":
-            graph = type(graph)(graph.edges, graph.node_count, Layout.UNSORTED, graph.nodes, True)
-        return graph.with_layout(layout)
+        network = (Graph if undirected else DiGraph).load(spark, a.path, Layout.UNSORTED, file_format)
+        if a.network == "adjacency-list":
+            network = type(network)(network.edges, network.node_count, Layout.UNSORTED, network.nodes, True)
+        if a.use_32_bit and network.node_count > 2**32:
+            raise InvalidIdType(f"{network.node_count} nodes need ids of more than 32 bits")
+        return network.with_layout(layout)
 
     if a.command == "loading":
         timed("loading", a.runs, a.warmup_runs, lambda: _all(load().stored_edges()))
         return
-    graph = load()
+    network = load()
     if a.command == "page-rank":
         config = PageRankConfig(a.max_iterations, a.tolerance, a.damping_factor)
-        timed("page-rank", a.runs, a.warmup_runs, lambda: _all(page_rank(graph, config).scores))
+        timed("page-rank", a.runs, a.warmup_runs, lambda: _all(page_rank(network, config).scores))
     elif a.command == "wcc":
-        timed("wcc", a.runs, a.warmup_runs, lambda: _all(component_ids(graph)))
+        timed("wcc", a.runs, a.warmup_runs, lambda: _all(component_ids(network)))
     elif a.command == "sssp":
-        timed("sssp", a.runs, a.warmup_runs, lambda: _all(delta_stepping(graph, DeltaSteppingConfig(a.start_node, a.delta)).distances))
+        timed("sssp", a.runs, a.warmup_runs, lambda: _all(delta_stepping(network, DeltaSteppingConfig(a.start_node, a.delta)).distances))
     elif a.command == "triangle-count":
-        graph = graph.make_degree_ordered() if a.relabel else graph
-        timed("triangle-count", a.runs, a.warmup_runs, lambda: triangle_total(graph).first())
-        print(f"triangles: {triangle_total(graph).first()['triangles']}")
+        network = network.make_degree_ordered() if a.relabel else network
+        timed("triangle-count", a.runs, a.warmup_runs, lambda: triangle_total(network).first())
+        print(f"triangles: {triangle_total(network).first()['triangles']}")
     else:
-        save(graph, a.output)
+        save(network, a.output)
         back = restore(spark, a.output)
-        if (back.node_count, back.edge_count) != (graph.node_count, graph.edge_count):
-            raise SystemExit("the restored graph differs")
+        if (back.node_count, back.edge_count) != (network.node_count, network.edge_count):
+            raise SystemExit("the restored network differs")
         print(f"saved {back!r}")
 
 

@@ -1,51 +1,49 @@
-"""Statistics over node labels (``graph.nodes.value``)."""
+"""Statistics over node labels (``network.nodes.value``)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
 
-def label_frequencies(graph) -> DataFrame:
+def label_frequencies(network) -> DataFrame:
     """``(label, frequency)``."""
-    return graph.nodes.groupBy(F.col("value").alias("label")).agg(F.count("*").alias("frequency"))
+    return network.nodes.groupBy(F.col("value").alias("label")).agg(F.count("*").alias("frequency"))
 
 
-def degree_table(graph) -> DataFrame:
-    return graph.out_degrees() if graph.directed else graph.degrees()
+def degree_table(network) -> DataFrame:
+    return network.out_degrees() if network.directed else network.degrees()
 
 
-def label_stats(graph) -> DataFrame:
+def label_stats(network) -> DataFrame:
     """One row: ``max_degree``, distinct ``label_count``, ``max_label``, ``max_label_frequency``."""
-    labels = label_frequencies(graph).agg(F.count("*").alias("label_count"), F.max("label").alias("max_label"), F.max("frequency").alias("max_label_frequency"))
+    labels = label_frequencies(network).agg(F.count("*").alias("label_count"), F.max("label").alias("max_label"), F.max("frequency").alias("max_label_frequency"))
     # Two single rows side by side.
-    return degree_table(graph).agg(F.max("degree").alias("max_degree")).crossJoin(labels)
+    return degree_table(network).agg(F.max("degree").alias("max_degree")).crossJoin(labels)
 
 
-def neighbor_label_counts(graph) -> DataFrame:
+def neighbor_label_counts(network) -> DataFrame:
     """``(id, label, frequency)`` over the neighbours of each node."""
-    stored = graph.stored_edges().select("src", "dst")
-    labels = graph.nodes.select(F.col("id").alias("dst"), F.col("value").alias("label"))
+    stored = network.stored_edges().select("src", "dst")
+    labels = network.nodes.select(F.col("id").alias("dst"), F.col("value").alias("label"))
     return stored.join(labels, "dst").groupBy(F.col("src").alias("id"), "label").agg(F.count("*").alias("frequency"))
 
 
-def neighbor_label_frequency(graph) -> DataFrame:
+def neighbor_label_frequency(network) -> DataFrame:
     """``(id, frequencies map<label, count>)``."""
     entries = F.sort_array(F.collect_list(F.struct("label", "frequency")))
-    return neighbor_label_counts(graph).groupBy("id").agg(F.map_from_entries(entries).alias("frequencies"))
+    return neighbor_label_counts(network).groupBy("id").agg(F.map_from_entries(entries).alias("frequencies"))
 
 
-def label_index(graph) -> DataFrame:
+def label_index(network) -> DataFrame:
     """``(label, pos, id)``: node ids of each label in ascending order, from 0.
 
     A row per node rather than a list per label, as a label may hold any share of
     all nodes; places come from one global order and the first place of each label.
     """
-    from arcweave.operators.ordering import with_rank
+    from arcweave.operators.ordering import with_place
 
-    ranked = with_rank(graph.nodes.select(F.col("value").alias("label"), "id"), [F.col("label"), F.col("id")], "rank")
-    first = ranked.groupBy("label").agg(F.min("rank").alias("first"))
-    return ranked.join(first, "label").select("label", (F.col("rank") - F.col("first")).alias("pos"), "id")
+    return with_place(network.nodes.select(F.col("value").alias("label"), "id"), ["label"], ["id"]).select("label", "pos", "id")
 
 
-def nodes_with_label(graph, label) -> list[int]:
-    return [r["id"] for r in graph.nodes.where(F.col("value") == label).select("id").orderBy("id").collect()]
+def nodes_with_label(network, label) -> list[int]:
+    return [r["id"] for r in network.nodes.where(F.col("value") == label).select("id").orderBy("id").collect()]

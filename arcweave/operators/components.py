@@ -9,10 +9,14 @@ whose skewed partitions adaptive execution splits.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, functions as F
 
 from .storage import Scratch
 
+log = logging.getLogger(__name__)
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -46,6 +50,7 @@ def star_labels(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds
         seen = now.agg(
             F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
         ).first()
+        log.debug("round %d: %d edges", step, seen["n"])
         if seen == fingerprint:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
         fingerprint = seen

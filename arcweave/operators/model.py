@@ -1,12 +1,12 @@
 """Networks as DataFrames: ``edges(src, dst[, value])`` and ``nodes(id[, value])``.
 
 Node ids are dense longs ``0 .. node_count - 1``; gaps are isolated nodes.  Graphs
-are immutable: each change returns a new one.  A directed graph keeps one edge
+are immutable: each change returns a new one.  A directed network keeps one edge
 table (incoming neighbours are the same rows keyed by ``dst``); an undirected one
 reads each edge from both ends, so a self-loop counts twice in a degree and once
 in the edge count.
 
-Edge-list and adjacency-list graphs differ in one rule: de-duplication drops
+Edge-list and adjacency-list networks differ in one rule: de-duplication drops
 self-loops in the former and keeps them in the latter.
 """
 
@@ -18,6 +18,8 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from arcweave.operators.storage import Scratch
+
 
 class Layout(enum.Enum):
     """Order of neighbour lists; ``DEDUPLICATED`` also drops parallel edges."""
@@ -90,6 +92,18 @@ def max_node_id(edges: DataFrame) -> int:
     return -1 if found is None else int(found)
 
 
+def computed_once(edges: DataFrame) -> DataFrame:
+    """The edges as a table where they come from a shuffle or from Python, else as they are.
+
+    Every operator reads its edges several times; a plain scan is read again, anything
+    dearer is computed once.
+    """
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    if not any(mark in plan for mark in ("Exchange", "RDD", "Python", "MapIn")):
+        return edges
+    return Scratch(edges.sparkSession, "edges").keep(edges, "edges")
+
+
 def deduplicated(edges: DataFrame, keep_self_loops: bool = False) -> DataFrame:
     """One edge per ordered pair; of parallel edges the smallest value stays."""
     kept = edges if keep_self_loops else edges.where("src <> dst")
@@ -119,7 +133,7 @@ class _Base:
 
     @classmethod
     def from_edges(cls, edges: DataFrame, node_count: int | None = None, layout: Layout = Layout.UNSORTED, nodes: DataFrame | None = None, adjacency_list: bool = False):
-        """A graph from any DataFrame whose first columns are source and target.
+        """A network from any DataFrame whose first columns are source and target.
 
         A third column, if there is one, is the value.  ``nodes(id, value)`` sets
         the node count to one above its largest id.  Null ids are an error.
@@ -130,6 +144,8 @@ class _Base:
             raise TypeError("edges need a source and a target column")
         checked = [F.coalesce(F.col(c).cast("long"), F.raise_error(F.lit("null node id")).cast("long")).alias(n) for c, n in zip(names, ("src", "dst"), strict=False)]
         edges = edges.select(*checked, *([F.col(names[2]).alias("value")] if len(names) > 2 else []))
+        if node_count is None:
+            edges = computed_once(edges)
         if nodes is not None:
             nodes = nodes.select(F.col(nodes.columns[0]).cast("long").alias("id"), F.col(nodes.columns[1]).alias("value"))
             valued = nodes.agg(F.max("id").alias("m")).first()["m"]
@@ -139,12 +155,12 @@ class _Base:
             node_count = given
         if node_count is None:
             node_count = max_node_id(edges) + 1
-        graph = cls(edges, node_count, Layout.UNSORTED, nodes, adjacency_list)
-        return replace(graph.with_layout(layout), load_micros=int((time.perf_counter() - began) * 1e6))
+        network = cls(edges, node_count, Layout.UNSORTED, nodes, adjacency_list)
+        return replace(network.with_layout(layout), load_micros=int((time.perf_counter() - began) * 1e6))
 
     @classmethod
     def from_rows(cls, spark: SparkSession, rows, layout: Layout = Layout.UNSORTED, node_values=None, value_type: str = "double", **options):
-        """A graph from ``(source, target)`` or ``(source, target, value)`` tuples."""
+        """A network from ``(source, target)`` or ``(source, target, value)`` tuples."""
         rows = [tuple(r) for r in rows]
         schema = "src long, dst long" + (f", value {value_type}" if rows and len(rows[0]) > 2 else "")
         nodes = None
@@ -154,7 +170,7 @@ class _Base:
 
     @classmethod
     def from_numpy(cls, spark: SparkSession, array, layout: Layout = Layout.UNSORTED):
-        """A graph from the first two columns of a 2-d integer array."""
+        """A network from the first two columns of a 2-d integer array."""
         import numpy as np
         import pandas as pd
 
@@ -171,7 +187,7 @@ class _Base:
 
     @classmethod
     def from_arrow(cls, spark: SparkSession, table, layout: Layout = Layout.UNSORTED):
-        """A graph from the first two int64 columns of an Arrow table."""
+        """A network from the first two int64 columns of an Arrow table."""
         import pyarrow as pa
 
         if any(table.column(i).type != pa.int64() for i in (0, 1)):
@@ -194,7 +210,7 @@ class _Base:
     def node_values(self) -> DataFrame:
         """``(id, value)`` of every node; null where no value was given."""
         if self.nodes is None:
-            raise InvalidNodeValues("the graph has no node values")
+            raise InvalidNodeValues("the network has no node values")
         return self.ids().join(self.nodes, "id", "left")
 
     def node_value(self, node: int):
@@ -212,6 +228,13 @@ class _Base:
         target = F.struct(F.col("dst").alias("target"), "value") if values else F.col("dst")
         return keyed.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list(target)).alias("neighbors"))
 
+    def _rows(self, keyed: DataFrame, values: bool) -> DataFrame:
+        from arcweave.operators.ordering import with_place
+
+        columns = ["dst", *(["value"] if values else [])]
+        placed = with_place(keyed.select("src", *columns), ["src"], columns, "pos")
+        return placed.select(F.col("src").alias("id"), "pos", F.col("dst").alias("neighbor"), *columns[1:])
+
     def _one(self, keyed: DataFrame, node: int) -> list[int]:
         found = keyed.where(F.col("src") == node).select("dst")
         ordered = found if self.layout is Layout.UNSORTED else found.orderBy("dst")
@@ -223,7 +246,7 @@ class _Base:
 
 @dataclass(frozen=True, repr=False)
 class DiGraph(_Base):
-    """Directed graph."""
+    """Directed network."""
 
     directed = True
 
@@ -251,6 +274,13 @@ class DiGraph(_Base):
     def all_in_neighbors(self, values: bool = False) -> DataFrame:
         return self._lists(reversed_edges(self.edges), values)
 
+    def out_neighbor_rows(self, values: bool = False) -> DataFrame:
+        """``(id, pos, neighbor[, value])`` in ascending order: the lists as rows, whatever a node's degree."""
+        return self._rows(self.edges, values)
+
+    def in_neighbor_rows(self, values: bool = False) -> DataFrame:
+        return self._rows(reversed_edges(self.edges), values)
+
     def out_neighbors(self, node: int) -> list[int]:
         return self._one(self.edges, node)
 
@@ -288,7 +318,7 @@ class DiGraph(_Base):
 
 @dataclass(frozen=True, repr=False)
 class Graph(_Base):
-    """Undirected graph; ``edges`` has each edge once, :meth:`stored_edges` from both ends."""
+    """Undirected network; ``edges`` has each edge once, :meth:`stored_edges` from both ends."""
 
     directed = False
     _stored: DataFrame | None = field(default=None, compare=False)
@@ -316,6 +346,10 @@ class Graph(_Base):
     def all_neighbors(self, values: bool = False) -> DataFrame:
         return self._lists(self.stored_edges(), values)
 
+    def neighbor_rows(self, values: bool = False) -> DataFrame:
+        """``(id, pos, neighbor[, value])`` in ascending order: the lists as rows, whatever a node's degree."""
+        return self._rows(self.stored_edges(), values)
+
     def neighbors(self, node: int) -> list[int]:
         return self._one(self.stored_edges(), node)
 

@@ -34,6 +34,33 @@ def with_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFra
     return placed.withColumn(name, F.col("base") + F.col("at")).drop("pid", "at", "base")
 
 
+def with_place(df: DataFrame, by: list[str], order: list[str], name: str = "pos") -> DataFrame:
+    """The rows with their 0-based place among those of equal ``by`` columns."""
+    ranked = with_rank(df, [F.col(c) for c in (*by, *order)], "rank")
+    first = ranked.groupBy(*by).agg(F.min("rank").alias("first"))
+    return ranked.join(first, by).withColumn(name, F.col("rank") - F.col("first")).drop("rank", "first")
+
+
+def with_previous(df: DataFrame, by: list[str], order: list[str], column: str, name: str = "previous") -> DataFrame:
+    """The rows with ``column`` of the row before among those of equal ``by`` columns; null for the first.
+
+    The last row of each range partition goes on to the next one, so a single value of
+    ``by`` may hold any share of the rows.
+    """
+    placed = _ranged(df, [F.col(c) for c in (*by, *order)], "previous")
+    carried = F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(by)), F.col(column).alias("v"))
+    inside = F.lag(carried).over(Window.partitionBy("pid").orderBy("at"))
+    ends = placed.groupBy("pid").agg(F.max_by(carried, "at").alias("last"))
+    # One row per partition: the window sees as many rows as there were tasks.
+    borders = ends.select("pid", F.lag("last").over(Window.orderBy("pid")).alias("border"))
+    found = placed.withColumn("inside", inside).join(F.broadcast(borders), "pid")
+    before = F.when(F.col("at") == 0, F.col("border")).otherwise(F.col("inside"))
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & before[f"k{i}"].eqNullSafe(F.col(c))
+    return found.withColumn(name, F.when(before.isNotNull() & same, before["v"])).drop("pid", "at", "inside", "border")
+
+
 def with_running_sum(df: DataFrame, key: str, amount: str, name: str = "before") -> DataFrame:
     """The rows with the sum of ``amount`` over all rows of smaller ``key``."""
     placed = _with_base(_ranged(df, [F.col(key)], "running"), F.col(amount))

@@ -9,6 +9,7 @@ point.  Nodes without outgoing edges give nothing away, so scores need not sum t
 
 from __future__ import annotations
 
+import logging
 import time
 from dataclasses import dataclass
 
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from arcweave.operators.model import DiGraph, GraphError
 from arcweave.operators.storage import Scratch
 
+log = logging.getLogger(__name__)
 IN_PLACE_NODES = 16_384
 _CUT_EVERY = 5
 
@@ -47,68 +49,76 @@ class PageRankResult:
         return f"PageRankResult {{ ran_iterations: {self.ran_iterations}, error: {self.error}, took: {self.micros} us }}"
 
 
-def transitions(graph: DiGraph) -> DataFrame:
+def transitions(network: DiGraph) -> DataFrame:
     """``(src, dst, w)``: the share of its score that ``src`` hands to ``dst``."""
-    parallel = graph.edges.groupBy("src", "dst").agg(F.count("*").alias("c"))
+    parallel = network.edges.groupBy("src", "dst").agg(F.count("*").alias("c"))
     degree = parallel.groupBy("src").agg(F.sum("c").alias("d"))
     return parallel.join(degree, "src").select("src", "dst", (F.col("c") / F.col("d")).alias("w"))
 
 
-def one_round(graph: DiGraph, moves: DataFrame, scores: DataFrame, damping: float) -> DataFrame:
-    received = moves.join(scores, moves["src"] == scores["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("w")).alias("got"))
-    base = F.lit((1 - damping) / graph.node_count)
-    return graph.ids().join(received, "id", "left").select("id", (base + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
+def one_round(network: DiGraph, moves: DataFrame, scores: DataFrame, damping: float, old: DataFrame | None = None) -> DataFrame:
+    """``(id, score, old)`` after a round; ``old(id, old)`` has every node, by default without a score.
 
+    ``moves`` is bucketed by ``src``: a round shuffles scores and partial sums, not edges.
+    """
+    got = moves.join(scores, moves["src"] == scores["id"]).select(F.col("dst").alias("id"), (F.col("score") * F.col("w")).alias("got"), F.lit(None).cast("double").alias("old"))
+    nodes = network.ids().withColumn("old", F.lit(None).cast("double")) if old is None else old
+    summed = got.unionByName(nodes.withColumn("got", F.lit(0.0))).groupBy("id").agg(F.sum("got").alias("got"), F.max("old").alias("old"))
+    return summed.select("id", (F.lit((1 - damping) / network.node_count) + damping * F.col("got")).alias("score"), "old")
 
-def fixed_rounds(graph: DiGraph, rounds: int, damping: float = 0.85) -> DataFrame:
+
+def fixed_rounds(network: DiGraph, rounds: int, damping: float = 0.85) -> DataFrame:
     """``(id, score)`` after a number of synchronous rounds, without stop test."""
-    scratch = Scratch(graph.spark, "pagerank")
-    moves = scratch.keep(transitions(graph), "moves")
-    scores = graph.ids().select("id", F.lit(1 / max(1, graph.node_count)).alias("score"))
+    scratch = Scratch(network.spark, "pagerank")
+    moves = scratch.keep_bucketed(transitions(network), "moves", ["src"])
+    scores = network.ids().select("id", F.lit(1 / max(1, network.node_count)).alias("score"))
     for at in range(1, rounds + 1):
-        scores = one_round(graph, moves, scores, damping)
+        scores = one_round(network, moves, scores, damping).select("id", "score")
         if at % _CUT_EVERY == 0 and at < rounds:
             scores = scratch.keep(scores, f"scores{at}")
     return scores
 
 
-def page_rank(graph: DiGraph, config: PageRankConfig = PageRankConfig(), update: str = "synchronous") -> PageRankResult:
+def page_rank(network: DiGraph, config: PageRankConfig = PageRankConfig(), update: str = "synchronous") -> PageRankResult:
     """Scores, iterations and last error; stops below the tolerance or at the limit."""
     began = time.perf_counter()
     if update == "in_place":
-        scores, iterations, error = _in_place(graph, config)
+        scores, iterations, error = _in_place(network, config)
     elif update == "synchronous":
-        scores, iterations, error = _synchronous(graph, config)
+        scores, iterations, error = _synchronous(network, config)
     else:
         raise GraphError(f"unknown update {update!r}")
     return PageRankResult(scores, iterations, error, int((time.perf_counter() - began) * 1e6))
 
 
-def _synchronous(graph: DiGraph, config: PageRankConfig) -> tuple[DataFrame, int, float]:
-    scratch = Scratch(graph.spark, "pagerank")
-    moves = scratch.keep(transitions(graph), "moves")
-    scores = graph.ids().select("id", F.lit(1 / max(1, graph.node_count)).alias("score"))
+def _synchronous(network: DiGraph, config: PageRankConfig) -> tuple[DataFrame, int, float]:
+    scratch = Scratch(network.spark, "pagerank")
+    moves = scratch.keep_bucketed(transitions(network), "moves", ["src"])
+    scores = network.ids().select("id", F.lit(1 / max(1, network.node_count)).alias("score"))
     at = 0
     while True:
         at += 1
-        fresh = scratch.keep(one_round(graph, moves, scores, config.damping_factor), f"scores{at}")
-        change = fresh.join(scores.withColumnRenamed("score", "old"), "id").agg(F.sum(F.abs(F.col("score") - F.col("old"))).alias("e")).first()["e"] or 0.0
+        fresh = one_round(network, moves, scores, config.damping_factor, scores.withColumnRenamed("score", "old"))
+        fresh = scratch.keep(fresh, f"scores{at}")
+        change = fresh.agg(F.sum(F.abs(F.col("score") - F.col("old"))).alias("e")).first()["e"] or 0.0
+        log.info("round %d: error %g", at, change)
         scratch.drop(f"scores{at - 1}")
-        scores = fresh
+        scores = fresh.select("id", "score")
         if change < config.tolerance or at == config.max_iterations:
+            scratch.drop("moves")
             return scores, at, float(change)
 
 
-def _in_place(graph: DiGraph, config: PageRankConfig) -> tuple[DataFrame, int, float]:
+def _in_place(network: DiGraph, config: PageRankConfig) -> tuple[DataFrame, int, float]:
     import numpy as np
     import pandas as pd
 
-    n = graph.node_count
+    n = network.node_count
     if n > IN_PLACE_NODES:
         raise GraphError(f"in-place updates are limited to {IN_PLACE_NODES} nodes")
     if n == 0:
-        return graph.ids().select("id", F.lit(0.0).cast("float").alias("score")), 0, 0.0
-    lists = graph.ids().join(graph.all_in_neighbors(), "id", "left").join(graph.out_degrees(), "id")
+        return network.ids().select("id", F.lit(0.0).cast("float").alias("score")), 0, 0.0
+    lists = network.ids().join(network.all_in_neighbors(), "id", "left").join(network.out_degrees(), "id")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id")
@@ -134,6 +144,6 @@ def _in_place(graph: DiGraph, config: PageRankConfig) -> tuple[DataFrame, int, f
                     break
         return pd.DataFrame({"id": np.arange(n), "score": score, "rounds": at, "error": error})
 
-    found = Scratch(graph.spark, "pagerank").keep(lists.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(run, "id long, score float, rounds int, error double"), "scores")
+    found = Scratch(network.spark, "pagerank").keep(lists.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(run, "id long, score float, rounds int, error double"), "scores")
     last = found.select("rounds", "error").first()
     return found.select("id", "score"), last["rounds"], last["error"]

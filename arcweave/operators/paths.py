@@ -1,12 +1,16 @@
-"""Single-source shortest paths by delta stepping over a frontier table.
+"""Single-source shortest paths by delta stepping over a log of distances.
 
 Distances are 32-bit floats; a node that cannot be reached has the largest finite
 one.  Each round relaxes the pending nodes of the lowest bucket ``floor(distance /
-delta)``: one join of the frontier with the edges and one minimum per target.
+delta)``: one join of the frontier with the edges and one minimum per target.  A
+round writes only the distances that it lowers; a node's distance is the smallest
+in the log.  Every entry below the current bucket has been relaxed, and of the
+current one all but those of the last round, so the log alone says what is pending.
 """
 
 from __future__ import annotations
 
+import logging
 import time
 from dataclasses import dataclass
 
@@ -15,7 +19,10 @@ from pyspark.sql import DataFrame, functions as F
 from arcweave.operators.model import DiGraph, GraphError, MissingNode, WrongGraphType
 from arcweave.operators.storage import Scratch
 
+log = logging.getLogger(__name__)
 UNREACHABLE = 3.4028234663852886e38
+_MERGE_EVERY = 16
+_LOG = "id long, dist float"
 
 
 @dataclass(frozen=True)
@@ -29,38 +36,59 @@ class PathResult:
     distances: DataFrame
     rounds: int
     micros: int
+    #: How many buckets held a frontier.
+    buckets: int = 0
 
 
-def delta_stepping(graph: DiGraph, config: DeltaSteppingConfig) -> PathResult:
+def delta_stepping(network: DiGraph, config: DeltaSteppingConfig) -> PathResult:
     """``distances(id, distance float)`` of every node from the start node."""
     began = time.perf_counter()
-    if not graph.directed or not graph.weighted:
-        raise WrongGraphType("shortest paths need a directed graph with values")
+    if not network.directed or not network.weighted:
+        raise WrongGraphType("shortest paths need a directed network with values")
     if not config.delta > 0:
         raise GraphError("delta must be positive")
-    if not 0 <= config.start_node < graph.node_count:
+    if not 0 <= config.start_node < network.node_count:
         raise MissingNode(str(config.start_node))
-    scratch = Scratch(graph.spark, "paths")
+    spark = network.spark
+    scratch = Scratch(spark, "paths")
     # Of parallel edges only the shortest can matter; self-loops never do.
-    weights = graph.edges.where("src <> dst").groupBy("src", "dst").agg(F.min(F.col("value").cast("float")).alias("w"))
-    weights = scratch.keep(weights, "weights")
+    weights = network.edges.where("src <> dst").groupBy("src", "dst").agg(F.min(F.col("value").cast("float")).alias("w"))
+    weights = scratch.keep_bucketed(weights, "weights", ["src"])
     if (weights.agg(F.min("w").alias("w")).first()["w"] or 0) < 0:
         raise GraphError("negative edge value")
-    start = graph.spark.createDataFrame([(config.start_node, 0.0, True)], "id long, dist float, pending boolean")
-    state, at = scratch.keep(start, "state0"), 0
+    bucket = F.floor(F.col("dist") / config.delta)
+    entries = ["log0"]
+    scratch.keep(spark.createDataFrame([(config.start_node, 0.0)], _LOG), "log0")
+    active, lowest, rounds, buckets = spark.createDataFrame([(config.start_node, 0.0)], _LOG), 0, 0, 1
+
+    def known() -> DataFrame:
+        return spark.read.schema(_LOG).parquet(*(scratch.paths[t] for t in entries))
+
     while True:
-        bucket = F.floor(F.col("dist") / config.delta)
-        lowest = state.where("pending").agg(F.min(bucket).alias("b")).first()["b"]
+        rounds += 1
+        reached = active.join(weights, active["id"] == weights["src"]).select(F.col("dst").alias("id"), (F.col("dist") + F.col("w")).cast("float").alias("new"))
+        both = known().withColumn("new", F.lit(None).cast("float")).unionByName(reached.withColumn("dist", F.lit(None).cast("float")))
+        least = both.groupBy("id").agg(F.min("dist").alias("dist"), F.min("new").alias("new"))
+        lowered = least.where("new < dist or dist is null").select("id", F.col("new").alias("dist"))
+        changed = scratch.keep(lowered, f"log{rounds}")
+        entries.append(f"log{rounds}")
+        log.debug("round %d of bucket %s", rounds, lowest)
+        if len(entries) > _MERGE_EVERY:
+            merged = f"merged{rounds}"
+            scratch.keep(known().groupBy("id").agg(F.min("dist").alias("dist")), merged)
+            scratch.drop(*(t for t in entries if t != f"log{rounds}"))
+            entries = [merged]
+        if changed.where(bucket == lowest).head() is not None:
+            active = changed.where(bucket == lowest)
+            continue
+        best = known().groupBy("id").agg(F.min("dist").alias("dist"))
+        lowest = best.where(bucket > lowest).agg(F.min(bucket).alias("b")).first()["b"]
         if lowest is None:
             break
-        at += 1
-        active = state.where(F.col("pending") & (bucket == lowest))
-        reached = active.join(weights, active["id"] == weights["src"]).groupBy(F.col("dst").alias("id")).agg(F.min((F.col("dist") + F.col("w")).cast("float")).alias("new"))
-        merged = state.join(reached, "id", "full")
-        better = F.col("new").isNotNull() & (F.col("dist").isNull() | (F.col("new") < F.col("dist")))
-        waiting = F.coalesce(F.col("pending") & (bucket != lowest), F.lit(False))
-        state = scratch.keep(merged.select("id", F.when(better, F.col("new")).otherwise(F.col("dist")).alias("dist"), (better | waiting).alias("pending")), f"state{at}")
-        scratch.drop(f"state{at - 1}")
-    found = graph.ids().join(state.select("id", "dist"), "id", "left")
+        buckets += 1
+        active = best.where(bucket == lowest)
+    nearest = scratch.keep(known().groupBy("id").agg(F.min("dist").alias("dist")), "nearest")
+    scratch.drop_all_but("nearest")
+    found = network.ids().join(nearest, "id", "left")
     distances = found.select("id", F.coalesce("dist", F.lit(UNREACHABLE).cast("float")).alias("distance"))
-    return PathResult(distances, at, int((time.perf_counter() - began) * 1e6))
+    return PathResult(distances, rounds, int((time.perf_counter() - began) * 1e6), buckets)

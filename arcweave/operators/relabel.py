@@ -10,11 +10,11 @@ from arcweave.operators.model import Graph, Layout, WrongGraphType, both_ways, d
 from arcweave.operators.ordering import with_rank, with_running_sum
 
 
-def degree_order(graph: Graph) -> DataFrame:
+def degree_order(network: Graph) -> DataFrame:
     """``(old_id, degree, new_id)``: by degree, then id, both descending."""
-    if graph.directed:
-        raise WrongGraphType("degree order needs an undirected graph")
-    ranked = with_rank(graph.degrees(), [F.desc("degree"), F.desc("id")], "new_id")
+    if network.directed:
+        raise WrongGraphType("degree order needs an undirected network")
+    ranked = with_rank(network.degrees(), [F.desc("degree"), F.desc("id")], "new_id")
     return ranked.select(F.col("id").alias("old_id"), "degree", "new_id")
 
 
@@ -26,16 +26,16 @@ def rename_nodes(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     return edges.join(source, "src").join(target, "dst").select(F.col("new_src").alias("src"), F.col("new_dst").alias("dst"), *rest)
 
 
-def relabel_by_degree(graph: Graph) -> Graph:
-    """The graph with node 0 of the highest degree; node values move with their nodes."""
-    mapping = degree_order(graph)
-    edges = rename_nodes(graph.edges, mapping)
-    stored = rename_nodes(graph.stored_edges(), mapping)
-    nodes = graph.nodes
+def relabel_by_degree(network: Graph) -> Graph:
+    """The network with node 0 of the highest degree; node values move with their nodes."""
+    mapping = degree_order(network)
+    edges = rename_nodes(network.edges, mapping)
+    stored = rename_nodes(network.stored_edges(), mapping)
+    nodes = network.nodes
     if nodes is not None:
         nodes = nodes.join(mapping, nodes["id"] == mapping["old_id"]).select(F.col("new_id").alias("id"), "value")
-    layout = Layout.SORTED if graph.layout is Layout.UNSORTED else graph.layout
-    return replace(graph, edges=edges, nodes=nodes, layout=layout, _stored=stored)
+    layout = Layout.SORTED if network.layout is Layout.UNSORTED else network.layout
+    return replace(network, edges=edges, nodes=nodes, layout=layout, _stored=stored)
 
 
 def offsets(degrees: DataFrame) -> DataFrame:

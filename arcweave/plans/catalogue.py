@@ -61,8 +61,8 @@ def degrees_undirected(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT max(greatest(src, dst)) AS max_node, max(greatest(src, dst)) + 1 AS node_count, count(*) AS edge_count,
        (SELECT count(*) FROM d) AS distinct_edges FROM chain""")
 def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = _chain(spark, sf_dir)
-    row = (max_node_id(graph.edges), graph.node_count, graph.edge_count, graph.with_layout(Layout.DEDUPLICATED).edge_count)
+    network = _chain(spark, sf_dir)
+    row = (max_node_id(network.edges), network.node_count, network.edge_count, network.with_layout(Layout.DEDUPLICATED).edge_count)
     return spark.createDataFrame([row], "max_node long, node_count long, edge_count long, distinct_edges long")
 
 
@@ -74,20 +74,17 @@ def csr_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {CHAIN} SELECT src AS id, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS pos, dst AS neighbor FROM chain")
 def sorted_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = _chain(spark, sf_dir, Layout.SORTED).all_out_neighbors()
-    return lists.select("id", F.posexplode("neighbors").alias("pos", "neighbor")).withColumn("pos", F.col("pos").cast("long"))
+    return _chain(spark, sf_dir, Layout.SORTED).out_neighbor_rows()
 
 
 @_query(f"WITH {CHAIN} SELECT dst AS id, row_number() OVER (PARTITION BY dst ORDER BY src) - 1 AS pos, src AS neighbor FROM chain")
 def sorted_in_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = _chain(spark, sf_dir, Layout.SORTED).all_in_neighbors()
-    return lists.select("id", F.posexplode("neighbors").alias("pos", "neighbor")).withColumn("pos", F.col("pos").cast("long"))
+    return _chain(spark, sf_dir, Layout.SORTED).in_neighbor_rows()
 
 
 @_query(f"""WITH {CHAIN} SELECT src AS id, row_number() OVER (PARTITION BY src ORDER BY dst, value) - 1 AS pos, dst AS target, value FROM chain""")
 def neighbors_with_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = _chain(spark, sf_dir, Layout.SORTED).all_out_neighbors(values=True)
-    return lists.select("id", F.posexplode("neighbors").alias("pos", "n")).select("id", F.col("pos").cast("long").alias("pos"), "n.target", "n.value")
+    return _chain(spark, sf_dir, Layout.SORTED).out_neighbor_rows(values=True).withColumnRenamed("neighbor", "target")
 
 
 # ---- layouts and direction ----------------------------------------------
@@ -128,8 +125,8 @@ def relabel_by_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"""WITH {_ORDER} SELECT s.new_id AS src, t.new_id AS dst, count(*) AS copies
 FROM b JOIN m s ON s.old_id = b.src JOIN m t ON t.old_id = b.dst GROUP BY 1, 2""")
 def relabelled_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = Graph.from_edges(sets.part_chain(spark, sf_dir).select("src", "dst")).make_degree_ordered()
-    return graph.stored_edges().groupBy("src", "dst").agg(F.count("*").alias("copies"))
+    network = Graph.from_edges(sets.part_chain(spark, sf_dir).select("src", "dst")).make_degree_ordered()
+    return network.stored_edges().groupBy("src", "dst").agg(F.count("*").alias("copies"))
 
 
 @_query("""WITH e AS (SELECT c_name AS a, n_name AS b FROM customer JOIN nation ON c_nationkey = n_nationkey),
@@ -155,9 +152,9 @@ SELECT src, dst, value FROM old UNION ALL
 SELECT src, dst, value FROM new WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.src = new.src AND old.dst = new.dst)""")
 def add_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reversed heavy edges join the de-duplicated chain; edges that exist keep their values."""
-    graph = _chain(spark, sf_dir, Layout.DEDUPLICATED)
+    network = _chain(spark, sf_dir, Layout.DEDUPLICATED)
     new = sets.part_chain(spark, sf_dir).where("value >= 25").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("value") + 100).alias("value"))
-    return mutation.add_edges(graph, new).edges
+    return mutation.add_edges(network, new).edges
 
 
 @_query(f"""WITH {CHAIN}, w AS (SELECT max(greatest(src, dst)) + 1 AS n FROM chain),
@@ -172,8 +169,8 @@ def missing_node_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT n.id, coalesce(o.d, 0) - coalesce(i.d, 0) AS state FROM n LEFT JOIN o ON o.id = n.id LEFT JOIN i ON i.id = n.id""")
 def for_each_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each node's state from its degrees."""
-    graph = _chain(spark, sf_dir)
-    both = graph.out_degrees().join(graph.in_degrees().withColumnRenamed("degree", "arriving"), "id")
+    network = _chain(spark, sf_dir)
+    both = network.out_degrees().join(network.in_degrees().withColumnRenamed("degree", "arriving"), "id")
     return partition.for_each_node(both, lambda t: t["degree"] - t["arriving"]).select("id", "state")
 
 
@@ -216,15 +213,15 @@ def in_degree_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"""WITH cuts AS ({_cuts("count(*)", _OUT)}), {CHAIN}, {CHAIN_NODES}, deg AS ({_OUT})
 SELECT part, count(*) AS nodes, CAST(sum(degree) AS BIGINT) AS degrees FROM deg JOIN cuts ON id >= first AND id < "end" GROUP BY part""")
 def for_each_node_by_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = _chain(spark, sf_dir)
-    ranges = partition.out_degree_partition(graph, PARTS)
+    network = _chain(spark, sf_dir)
+    ranges = partition.out_degree_partition(network, PARTS)
 
     def total(frame):
         import pandas as pd
 
         return pd.DataFrame({"part": frame["part"][:1].astype("int64"), "nodes": len(frame), "degrees": frame["degree"].sum()})
 
-    return partition.for_each_node_by_partition(graph, graph.out_degrees(), ranges, total, "part long, nodes long, degrees long")
+    return partition.for_each_node_by_partition(network, network.out_degrees(), ranges, total, "part long, nodes long, degrees long")
 
 
 # ---- labels -------------------------------------------------------------
@@ -314,37 +311,6 @@ def _labels_sql(edges: str, tail: str, rounds: int = 24) -> str:
     return "WITH " + ",\n".join(steps) + f"\n, comp AS (SELECT id, label AS component FROM f{rounds}) {tail}"
 
 
-_MOD20 = "SELECT src, dst FROM chain WHERE (src + dst) % 20 = 0"
-
-
-def _mod20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components.component_ids(DiGraph.from_edges(sets.chain_mod20(spark, sf_dir).select("src", "dst")))
-
-
-@_query(_labels_sql(_MOD20, "SELECT id, component FROM comp"))
-def wcc_part_chain_mod20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mod20(spark, sf_dir)
-
-
-@_query(_labels_sql(_MOD20, "SELECT component, count(*) AS size FROM comp GROUP BY component"))
-def component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mod20(spark, sf_dir).groupBy("component").agg(F.count("*").alias("size"))
-
-
-@_query(_labels_sql(_MOD20, "SELECT component, count(*) AS size FROM comp GROUP BY component ORDER BY size DESC, component LIMIT 1"))
-def largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components.largest_component(_mod20(spark, sf_dir))
-
-
-@_query(_labels_sql(_MOD20, """, top AS (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)
-SELECT e.src, e.dst FROM e JOIN comp ON comp.id = e.src WHERE comp.component <> (SELECT component FROM top)"""))
-def remaining_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = sets.chain_mod20(spark, sf_dir).select("src", "dst")
-    found = Scratch(spark, "remaining").keep(components.component_ids(DiGraph.from_edges(edges)), "components")
-    top = components.largest_component(found).first()
-    return components.remaining_edges(edges, found, top["component"])
-
-
 #: Whole edge sets of large tables, without any filter, and their SQL.
 WHOLE = {
     "part_chain": (sets.part_chain, "SELECT src, dst FROM chain"),
@@ -409,29 +375,28 @@ def _distance_sql(edges: str, tail: str, rounds: int = 60) -> str:
 
 
 _ALL_WEIGHTS = "SELECT src, dst, CAST(min(value) AS FLOAT) AS w FROM chain GROUP BY src, dst"
-_MOD20_WEIGHTS = "SELECT src, dst, CAST(min(value) AS FLOAT) AS w FROM chain WHERE (src + dst) % 20 = 0 GROUP BY src, dst"
 
 
 @_query(_distance_sql(_ALL_WEIGHTS, "SELECT id, distance FROM far", 40))
 def sssp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delta_stepping(_chain(spark, sf_dir), DeltaSteppingConfig(0, 64.0)).distances
+    return delta_stepping(_chain(spark, sf_dir), DeltaSteppingConfig(0, 16.0)).distances
 
 
-@_query(_distance_sql(_MOD20_WEIGHTS, "SELECT id, distance FROM far", 60))
-def sssp_unreachable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unreachable nodes have the largest finite float."""
-    return delta_stepping(DiGraph.from_edges(sets.chain_mod20(spark, sf_dir)), DeltaSteppingConfig(0, 64.0)).distances
+@_query(_distance_sql(_ALL_WEIGHTS, "SELECT id, distance FROM far", 40))
+def sssp_small_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets far below the distances: most rounds open another one."""
+    return delta_stepping(_chain(spark, sf_dir), DeltaSteppingConfig(0, 3.0)).distances
 
 
 @_query(_distance_sql(f"WITH {CUSTOMER_SUPPLIER} SELECT src, dst, CAST(min(value) AS FLOAT) AS w FROM cs GROUP BY src, dst", "SELECT id, distance FROM far", 2))
 def sssp_customer_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only the suppliers of customer 0 can be reached; suppliers have no way on."""
-    return delta_stepping(DiGraph.from_edges(sets.customer_supplier(spark, sf_dir)), DeltaSteppingConfig(0, 64.0)).distances
+    return delta_stepping(DiGraph.from_edges(sets.customer_supplier(spark, sf_dir)), DeltaSteppingConfig(0, 16.0)).distances
 
 
 @_query(_distance_sql(_ALL_WEIGHTS, "SELECT count(*) AS reached, CAST(sum(distance) AS DOUBLE) AS total, max(distance) AS farthest FROM far WHERE distance < 20000", 40))
 def sssp_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = delta_stepping(_chain(spark, sf_dir), DeltaSteppingConfig(0, 64.0)).distances.where("distance < 20000")
+    near = delta_stepping(_chain(spark, sf_dir), DeltaSteppingConfig(0, 16.0)).distances.where("distance < 20000")
     return near.agg(F.count("*").alias("reached"), F.sum(F.col("distance").cast("double")).alias("total"), F.max("distance").alias("farthest"))
 
 
@@ -468,6 +433,69 @@ def saved_graph_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The de-duplicated chain saved and restored."""
     from arcweave.sources.saved import restore, save
 
-    path = Scratch(spark, "saved").path("graph")
+    path = Scratch(spark, "saved").path("network")
     save(_chain(spark, sf_dir, Layout.DEDUPLICATED), path)
     return restore(spark, path).edges
+
+
+@_query(f"""WITH {CHAIN}, w AS (SELECT max(greatest(src, dst)) + 1 AS n FROM chain),
+old AS MATERIALIZED (SELECT src, dst, min(value) AS value FROM (SELECT src, dst, value FROM chain UNION ALL SELECT dst, src, value FROM chain) WHERE src <> dst GROUP BY 1, 2),
+new AS (SELECT least(src, t) AS a, greatest(src, t) AS b, min(value) + 100 AS value FROM (SELECT src, (dst + 7) % n AS t, value FROM chain, w WHERE value >= 45) GROUP BY 1, 2),
+added AS MATERIALIZED (SELECT a, b, value FROM new WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.src = a AND old.dst = b))
+SELECT src, dst, value FROM old UNION ALL SELECT a, b, value FROM added UNION ALL SELECT b, a, value FROM added WHERE a <> b""")
+def saved_after_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An undirected de-duplicated network that got edges, some known and some self-loops, saved and restored."""
+    from arcweave.sources.saved import restore, save
+
+    network = _chain(spark, sf_dir, Layout.DEDUPLICATED, Graph)
+    moved = F.pmod(F.col("dst") + 7, F.lit(network.node_count))
+    new = sets.part_chain(spark, sf_dir).where("value >= 45").select("src", moved.alias("dst"), (F.col("value") + 100).alias("value"))
+    path = Scratch(spark, "saved").path("network")
+    save(mutation.add_edges(network, new), path)
+    return restore(spark, path).stored_edges()
+
+
+@_query(f"""WITH {CUSTOMER_SUPPLIER}, {PARTY_LABELS}, b AS (SELECT src FROM cs UNION ALL SELECT dst FROM cs)
+SELECT id, label, count(b.src) AS declared_degree FROM labels_of LEFT JOIN b ON b.src = id GROUP BY id, label""")
+def labelled_text_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of customers and suppliers, written as labelled text and read again."""
+    return _labelled_text(spark, sf_dir).nodes
+
+
+@_query(f"WITH {CUSTOMER_SUPPLIER} SELECT src, dst FROM cs")
+def labelled_text_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Their edges, from the same text."""
+    return _labelled_text(spark, sf_dir).edges
+
+
+def _labelled_text(spark: SparkSession, sf_dir: str):
+    from arcweave.sources.labelled import read_labelled, write_labelled
+
+    path = Scratch(spark, "labelled").path("text")
+    write_labelled(_parties(spark, sf_dir, Graph), path)
+    return read_labelled(spark, path)
+
+
+@_query("""SELECT CAST(n_nationkey AS BIGINT) AS src, CAST(n_regionkey + 25 AS BIGINT) AS dst,
+CAST(n_regionkey AS BIGINT) AS src_label, CAST(n_regionkey + 10 AS BIGINT) AS dst_label FROM nation""")
+def gdl_labelled_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations and their regions written as a pattern, read as a labelled network."""
+    from arcweave.sources.gdl import labelled_from_gdl
+
+    nations = sorted((r["n_nationkey"], r["n_regionkey"]) for r in sets.table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").collect())
+    nodes = [f"(n{n}:L{r})" for n, r in nations] + [f"(r{r}:L{r + 10})" for r in sorted({r for _, r in nations})]
+    network = labelled_from_gdl(spark, ", ".join(nodes + [f"(n{n})-->(r{r})" for n, r in nations]))
+    labels = network.nodes
+    found = network.edges.join(labels.select(F.col("id").alias("src"), F.col("value").alias("src_label")), "src")
+    return found.join(labels.select(F.col("id").alias("dst"), F.col("value").alias("dst_label")), "dst").select("src", "dst", "src_label", "dst_label")
+
+
+@_query(_labels_sql(WHOLE["customer_orders"][1], "SELECT id, component FROM comp"))
+def registry_property(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components computed by the registry on a named network, from an action with a JSON body."""
+    from arcweave.plans.registry import GraphRegistry
+
+    registry = GraphRegistry(spark)
+    registry.put("orders", DiGraph.from_edges(sets.customer_orders(spark, sf_dir)))
+    said = registry.action("compute", '{"graph_name": "orders", "algorithm": {"Wcc": {"chunk_size": 16384}}, "property_key": "island"}')
+    return registry.ticket(said["property_id"])

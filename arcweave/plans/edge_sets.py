@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from arcweave.operators.ordering import with_previous
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,10 +25,6 @@ CHAIN = """chain AS MATERIALIZED (SELECT src, dst, value FROM (
 CHAIN_NODES = "n AS MATERIALIZED (SELECT unnest(range(0, (SELECT max(greatest(src, dst)) + 1 FROM chain))) AS id)"
 
 
-def chain_mod20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return part_chain(spark, sf_dir).where("(src + dst) % 20 = 0")
-
-
 def customer_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers to the suppliers of their orders; suppliers follow the customers' ids."""
     customers = table(spark, sf_dir, "customer").agg(F.count("*").alias("n"))
@@ -84,9 +82,9 @@ PARTY_LABELS = """labels_of AS MATERIALIZED (SELECT c_custkey AS id, CAST(c_nati
 
 def handover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event's user to the next event's user, within an event type."""
-    order = Window.partitionBy("event_type").orderBy("ts", "event_id")
     events = table(spark, sf_dir, "events").select("event_type", "ts", "event_id", "user_id")
-    return events.select(F.lag("user_id").over(order).alias("src"), F.col("user_id").alias("dst")).where("src is not null")
+    linked = with_previous(events, ["event_type"], ["ts", "event_id"], "user_id", "src")
+    return linked.select("src", F.col("user_id").alias("dst")).where("src is not null")
 
 
 HANDOVER = """hand AS MATERIALIZED (SELECT src, dst FROM (SELECT lag(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS src,

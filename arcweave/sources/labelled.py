@@ -1,4 +1,4 @@
-"""Labelled graphs as text: ``t nodes edges``, ``v id label degree``, ``e source target``."""
+"""Labelled networks as text: ``t nodes edges``, ``v id label degree``, ``e source target``."""
 
 from __future__ import annotations
 
@@ -24,6 +24,15 @@ class LabelledGraph:
         return base | {"label_slots": (base["max_label"] or 0) + 1, "max_label_frequency": top}
 
 
+def write_labelled(network, path: str) -> None:
+    """``v`` and ``e`` lines of a network with labels as node values, below their ``t`` line's counts."""
+    degrees = network.out_degrees() if network.directed else network.degrees()
+    edges = network.edges.select(F.concat_ws(" ", F.lit("e"), "src", "dst").alias("value"))
+    nodes = network.nodes.join(degrees, "id").select(F.concat_ws(" ", F.lit("v"), "id", "value", "degree").alias("value"))
+    counts = network.spark.createDataFrame([(f"t {network.node_count} {network.edges.count()}",)], "value string")
+    counts.coalesce(1).unionByName(nodes).unionByName(edges).write.mode("overwrite").text(path)
+
+
 def read_labelled(spark: SparkSession, path: str) -> LabelledGraph:
     """Node lines may begin with ``v`` or ``n``; ids are read, not assumed."""
     parts = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("p"))

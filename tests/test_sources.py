@@ -43,7 +43,7 @@ def test_graph500(spark, tmp_path):
 
 
 def test_labelled(spark, tmp_path):
-    path = written(tmp_path, "a.graph", LABELLED)
+    path = written(tmp_path, "a.network", LABELLED)
     stats = read_labelled(spark, path).stats()
     assert stats == {"node_count": 5, "max_label": 2, "max_degree": 3, "label_slots": 3, "max_label_frequency": 2}
     g = Graph.load(spark, path, Layout.SORTED, FileFormat.LABELLED)
@@ -54,7 +54,7 @@ def test_labelled(spark, tmp_path):
     assert sorted(map(tuple, labels.label_index(g).collect())) == [(0, 0, 0), (1, 0, 1), (1, 1, 3), (2, 0, 2), (2, 1, 4)]
     assert labels.nodes_with_label(g, 1) == [1, 3]
     other = LABELLED.replace("v ", "n ")
-    assert read_labelled(spark, written(tmp_path, "b.graph", other)).nodes.count() == 5
+    assert read_labelled(spark, written(tmp_path, "b.network", other)).nodes.count() == 5
 
 
 def test_gdl(spark):
