@@ -10,6 +10,7 @@ whose skewed partitions adaptive execution splits.
 from __future__ import annotations
 
 import logging
+import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -31,22 +32,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
 
 
-def star_labels(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 64) -> DataFrame:
+def star_labels(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 64, scratch: Scratch | None = None) -> DataFrame:
     """``(id, component)`` for every node that is not the smallest of its component.
 
     Self-loops and parallel edges are ignored.  A node missing from the result
-    is its own component, so callers left-join and coalesce.
+    is its own component, so callers left-join and coalesce.  The tables of the rounds
+    are kept in ``scratch`` where the caller gives one.
     """
-    spark = edges.sparkSession
-    scratch = Scratch(spark, "components")
+    scratch = scratch or Scratch(edges.sparkSession, "components")
+    mark = uuid.uuid4().hex[:8]
     now = edges.where(F.col(src) != F.col(dst)).select(
         F.greatest(src, dst).cast("long").alias("u"), F.least(src, dst).cast("long").alias("v")
     ).distinct()
-    now = scratch.keep(now, "r0")
+    now = scratch.keep(now, f"{mark}-r0")
     fingerprint = None
     for step in range(1, max_rounds + 1):
-        now = scratch.keep(_small_star(_large_star(now)), f"r{step}")
-        scratch.drop(f"r{step - 1}")
+        now = scratch.keep(_small_star(_large_star(now)), f"{mark}-r{step}")
+        scratch.drop(f"{mark}-r{step - 1}")
         seen = now.agg(
             F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
         ).first()

@@ -41,6 +41,20 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def replace_file(spark: SparkSession, path: str, content: bytes) -> None:
+    """Write a small file so that readers see the old content or the new, never a part."""
+    jvm = spark.sparkContext._jvm
+    target, fresh = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = system.create(fresh, True)
+    out.write(bytearray(content))
+    out.close()
+    if not system.rename(fresh, target):
+        # Not every file system renames onto a file that exists.
+        system.delete(target, False)
+        system.rename(fresh, target)
+
+
 class Scratch:
     """Tables of one operator run, kept as Parquet in the shared folder.
 
