@@ -27,20 +27,27 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes handled at once; one longer text is handled alone, and whole.
 CHUNK_BYTES = 1 << 19
-#: Rows of an Arrow batch of texts, where the session has not chosen a number itself.
-BATCH_ROWS = 1000
-_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of an Arrow batch of texts, where the session has not chosen a number itself.
+BATCH_BYTES = 4 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 _powers: list[np.ndarray] = []
 
 
 def bounded_batches(spark) -> None:
-    """Keep Arrow batches of whole texts small: Spark's default of 10,000 rows suits numbers.
+    """Bound the bytes of Arrow batches of whole texts, unless the session has a bound of its own.
 
     Both sides of the Python boundary hold a batch twice, so this bounds what each
-    task needs outside the heap.
+    task needs outside the heap.  Results are lazy, so the bound stays until
+    :func:`default_batches`; the number of rows of a batch is never touched.
     """
-    if spark.conf.get(_BATCH_KEY) == "10000":
-        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
+    if spark.conf.get(_BATCH_KEY, None) is None:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+
+def default_batches(spark) -> None:
+    """Take back what :func:`bounded_batches` set, once the results have been written."""
+    if spark.conf.get(_BATCH_KEY, None) == str(BATCH_BYTES):
+        spark.conf.unset(_BATCH_KEY)
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
