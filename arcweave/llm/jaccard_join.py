@@ -1,35 +1,41 @@
 """N-gram Jaccard self-join by vertical partitioning, and its linked groups.
 
-The n-gram universe is cut into fragments of one global order.  Each fragment
-is counted on its own and the partial counts are summed per document or pair:
-
-* Thinning.  A document of n distinct n-grams can only be linked when at least
-  ``ceil(t * n)`` of them occur elsewhere.  Fragment after fragment, the n-grams
-  that only one live document holds are counted and added up; a document leaves
-  as soon as its sum exceeds ``n - ceil(t * n)``.  Later fragments are read for the
-  documents that are left, so the bulk of a corpus costs one fragment.
-* Candidates.  What remains is ordered by (document frequency, n-gram); linked
-  documents share an n-gram of their prefixes, with enough places behind it.
-* Verification.  A candidate pair meets fragment by fragment; the partial
-  overlaps are summed per pair and compared exactly, in integers.
+The n-gram universe has one global order, and is cut into fragments: ranges of it.
+Each fragment is counted on its own and the partial counts are summed:
+
+* Thinning, over ranges of the n-gram hash.  A document of n distinct n-grams can
+  only be linked when at least ``ceil(t * n)`` of them occur elsewhere.  Fragment
+  after fragment, the n-grams that only one live document holds are counted and
+  added up; a document leaves as soon as its sum exceeds ``n - ceil(t * n)``.  Later
+  fragments are read for the documents that are left, so the bulk of a corpus costs
+  one fragment.
+* Candidates.  What remains is ordered by (frequency level, n-gram), rare ones first;
+  linked documents share an n-gram of their prefixes, with enough places behind it.
+* Verification, over ranges of that order.  The cuts give fragments of about equal
+  size; a document has one segment in each.  Fragment by fragment, the segments of a
+  candidate pair meet and give a partial overlap; the partial overlaps are summed per
+  pair and compared exactly, in integers.  No task holds a whole set.
 
 Copies with equal n-gram sets form one class that is compared once.  Within a
 bucket, all members are first compared with one leader; only members that end
 in different groups then meet each other, so a group of mutual near copies
 costs a number of pairs in proportion to its size.  The other links inside the
-groups are found only on request (``links(every=True)``, ``n_links``).  Nothing
-is capped.
+groups are found only on request (``links(every=True)``, ``n_links``).  Members of a
+bucket are dealt over ``SALTS`` tasks.  Nothing is capped.
+
+Classes are 64-bit hashes of the sets, checked against a second hash; where two
+sets share one, all are hashed anew.
 
 Defined results: null or blank text has an empty set and is linked with
 nothing; repeated rows and repeated ids are separate rows of one class; a null
 id never becomes a component id unless the whole component has none; an empty
-table gives an empty result; columns other than the two named are not read.
+table gives an empty result; columns other than the two named are not read; a
+text of any length is one set, cut into ``FRAGMENTS`` segments; a pair exactly at the
+threshold is linked.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -40,11 +46,14 @@ from arcweave.operators.components import star_labels
 from arcweave.operators.storage import Scratch
 
 FRAGMENTS = 4
-#: Bits of the filter of live classes that goes to every task: 2 MB at any input
-#: size.  It only spares work; what it lets through is joined exactly afterwards.
-FILTER_BITS = 1 << 24
-#: Members of a bucket for each task that pairs it inside groups.
-BUCKET_ROWS = 1000
+#: Bits of the filter of live classes that goes to every task: 16 or more for each
+#: class within these bounds (128 KB and 64 MB).  It only spares work; what it lets
+#: through is joined exactly afterwards.
+FILTER_BITS = (1 << 20, 1 << 29)
+#: Tasks over which the members of one bucket are dealt.
+SALTS = 64
+#: Cells in which n-grams are counted to place the cuts: 16 per frequency level.
+_CELLS_PER_LEVEL = 16
 _SETS_SCHEMA = "cls long, n long, " + ", ".join(f"t{f} array<long>" for f in range(FRAGMENTS))
 
 
@@ -57,30 +66,36 @@ def _distinct(batch: pa.RecordBatch, k: int):
             yield first + i, np.unique(grams[bounds[i] : bounds[i + 1]])
 
 
-def _class_of(grams: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes(), 7)).astype(np.int64))
+def _class_of(grams: np.ndarray, seed: int) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes(), seed)).astype(np.int64))
+
 
+def _ranges(grams: np.ndarray) -> list[np.ndarray]:
+    """Sorted n-grams cut into ``FRAGMENTS`` equal ranges of the hash."""
+    cuts = np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64(2**64 // FRAGMENTS)
+    return np.split(grams.view(np.int64), np.searchsorted(grams, cuts))
 
-def _class_rows(k: int):
+
+def _class_rows(k: int, seed: int):
     def run(batches):
         for batch in batches:
-            sizes, classes = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            sizes, classes, checks = (np.zeros(len(batch), np.int64) for _ in range(3))
             for row, grams in _distinct(batch, k):
-                sizes[row], classes[row] = len(grams), _class_of(grams)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes), pa.array(classes)], ["id", "text_key", "n", "cls"])
+                sizes[row], classes[row], checks[row] = len(grams), _class_of(grams, seed), _class_of(grams, ~seed & 0xFFFF)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes), pa.array(classes), pa.array(checks)], ["id", "text_key", "n", "cls", "checked"])
 
     return run
 
 
-def _fragment_rows(k: int, fragment: int):
+def _fragment_rows(k: int, fragment: int, seed: int):
     def run(batches):
         for batch in batches:
             held, owner, waiting = [], [], 0
             for _, grams in _distinct(batch, k):
-                part = grams[grams % np.uint64(FRAGMENTS) == fragment]
+                part = _ranges(grams)[fragment]
                 if len(part):
-                    held.append(part.view(np.int64))
-                    owner.append(np.full(len(part), _class_of(grams)))
+                    held.append(part)
+                    owner.append(np.full(len(part), _class_of(grams, seed)))
                     waiting += len(part)
                 if waiting > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(np.concatenate(owner))], ["tok", "cls"])
@@ -91,36 +106,37 @@ def _fragment_rows(k: int, fragment: int):
     return run
 
 
-def _filter_places(column: str) -> list[Column]:
+def _filter_places(column: str, bits: int) -> list[Column]:
     """Bit numbers of a class in the filter."""
     folded = F.col(column).bitwiseXOR(F.shiftrightunsigned(column, 29))
-    return [F.pmod(folded, F.lit(FILTER_BITS)), F.pmod(F.shiftrightunsigned(column, 24), F.lit(FILTER_BITS))]
+    return [F.pmod(folded, F.lit(bits)), F.pmod(F.shiftrightunsigned(column, 24), F.lit(bits))]
 
 
 def _live_filter(live: DataFrame) -> np.ndarray:
     """Bit filter of the live classes, built by a distributed bitwise-or."""
-    places = live.select(F.explode(F.array(*_filter_places("cls"))).alias("bit"))
+    least, most = FILTER_BITS
+    bits = min(max(least, 1 << (16 * live.count()).bit_length()), most)
+    places = live.select(F.explode(F.array(*_filter_places("cls", bits))).alias("bit"))
     words = places.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
     found = words.toArrow()
-    table = np.zeros(FILTER_BITS // 64, np.int64)
+    table = np.zeros(bits // 64, np.int64)
     table[found["word"].to_numpy()] = found["bits"].to_numpy()
     return table
 
 
 def _may_be_live(table: np.ndarray, cls: int) -> bool:
-    value = cls & (2**64 - 1)
-    return all(table[bit >> 6] >> (bit & 63) & 1 for bit in ((value ^ value >> 29) % FILTER_BITS, (value >> 24) % FILTER_BITS))
+    value, bits = cls & (2**64 - 1), 64 * len(table)
+    return all(table[bit >> 6] >> (bit & 63) & 1 for bit in ((value ^ value >> 29) % bits, (value >> 24) % bits))
 
 
-def _set_rows(k: int, live_filter):
+def _set_rows(k: int, live_filter, seed: int):
     def run(batches):
         table = live_filter.value
         for batch in batches:
             rows = []
             for _, grams in _distinct(batch, k):
-                if len(grams) and _may_be_live(table, _class_of(grams)):
-                    where = grams % np.uint64(FRAGMENTS)
-                    rows.append((_class_of(grams), len(grams), *(grams[where == f].view(np.int64) for f in range(FRAGMENTS))))
+                if len(grams) and _may_be_live(table, cls := _class_of(grams, seed)):
+                    rows.append((cls, len(grams), *_ranges(grams)))
                 if len(rows) == 512:
                     yield _set_batch(rows)
                     rows = []
@@ -146,6 +162,29 @@ def has_words(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("")).rlike("[^ \\x09-\\x0D]")
 
 
+def _place(tok) -> Column:
+    """Which sixteenth of its level's order an n-gram is in; signed, as n-grams are ordered."""
+    return F.shiftright(tok, 60).cast("int") + _CELLS_PER_LEVEL // 2
+
+
+def cuts_of(counts: list[tuple[int, int]], parts: int) -> list[int]:
+    """Cells at which the global order is cut so that ``parts`` ranges hold about as many n-grams each."""
+    total, upto, cuts = sum(n for _, n in counts), 0, []
+    for cell, n in counts:
+        if upto * parts >= total * (len(cuts) + 1) and len(cuts) < parts - 1:
+            cuts.append(cell)
+        upto += n
+    return cuts
+
+
+def partial_overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """``(a, b, na, nb, frag, partial)``: what each fragment alone gives a pair."""
+    left = segments.select(F.col("cls").alias("a"), "frag", F.col("toks").alias("left_toks"))
+    right = segments.select(F.col("cls").alias("b"), "frag", F.col("toks").alias("right_toks"))
+    met = pairs.join(left, "a").join(right, ["b", "frag"])
+    return met.select("a", "b", "na", "nb", "frag", F.size(F.array_intersect("left_toks", "right_toks")).cast("long").alias("partial"))
+
+
 class JaccardJoin:
     """Link texts whose ``k``-word shingle sets have Jaccard ``>= num / den``."""
 
@@ -167,13 +206,59 @@ class JaccardJoin:
             .groupBy("cls").agg(F.count("*").alias("s"))
         )
 
-    def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose summed partial overlaps reach the threshold."""
-        left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), *(F.col(f"t{f}").alias(f"a{f}") for f in range(FRAGMENTS))), "a")
-        both = left.join(sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), *(F.col(f"t{f}").alias(f"b{f}") for f in range(FRAGMENTS))), "b")
-        partial = [F.size(F.array_intersect(f"a{f}", f"b{f}")).cast("long") for f in range(FRAGMENTS)]
-        counted = both.select("a", "b", "na", "nb", reduce(lambda x, y: x + y, partial).alias("shared"))
-        return counted.where(f"{self.den} * shared >= {self.num} * (na + nb - shared)").select("a", "b", "shared", "na", "nb")
+    def _classes(self, source: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
+        """``ids(id, text_key, n, cls)``, ``classes(cls, n)``, and the seed under which no two sets share a class."""
+        keyed = source.withColumn("text_key", text_key("text"))
+        for seed in range(7, 64):
+            ids = scratch.keep(keyed.mapInArrow(_class_rows(self.k, seed), "id long, text_key long, n long, cls long, checked long"), "ids")
+            seen = ids.where("n > 0").groupBy("cls").agg(F.max("n").alias("n"), F.min("checked").alias("low"), F.max("checked").alias("high"))
+            seen = scratch.keep(seen, "classes")
+            if seen.where("low <> high").head() is None:
+                return ids.drop("checked"), seen.select("cls", "n"), seed
+        raise RuntimeError("two sets share a class under every seed")
+
+    def _segments(self, tokens: DataFrame, sizes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+        """``ordered(cls, n, grams array<struct<level, tok>>)`` of n-grams that several classes hold, and ``segments(cls, frag, toks)``."""
+        common = tokens.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
+        common = scratch.keep(common.select("tok", "df", F.floor(8 * F.log2("df")).cast("int").alias("level")), "common")
+        # n-grams per cell of the order: at most 16 for each level, and no more levels than 8 per power of two.
+        cell = F.col("level") * _CELLS_PER_LEVEL + _place("tok")
+        counts = sorted(map(tuple, common.groupBy(cell.alias("cell")).agg(F.sum("df").alias("n")).collect()))
+        cuts = cuts_of(counts, FRAGMENTS)
+        shared = tokens.join(common.select("tok", "level"), "tok").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("level", "tok"))).alias("grams"))
+        ordered = scratch.keep(shared.join(sizes, "cls"), "ordered")
+
+        def piece(f: int) -> Column:
+            inside = lambda g: sum((g["level"] * _CELLS_PER_LEVEL + _place(g["tok"]) >= F.lit(c)).cast("int") for c in cuts) + F.lit(0) == f
+            return F.struct(F.lit(f).alias("frag"), F.transform(F.filter("grams", inside), lambda g: g["tok"]).alias("toks"))
+
+        pieces = [piece(f) for f in range(len(cuts) + 1)]
+        segments = ordered.select("cls", F.explode(F.array(*pieces)).alias("s")).select("cls", "s.frag", "s.toks").where("size(toks) > 0")
+        return ordered, scratch.keep(segments, "segments")
+
+    def _verified(self, pairs: DataFrame, segments: DataFrame) -> DataFrame:
+        """Pairs ``(a, b, na, nb)`` whose summed partial overlaps reach the threshold, with ``shared``."""
+        partial = partial_overlaps(pairs, segments)
+        summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("partial").alias("shared"))
+        return summed.where(f"{self.den} * shared >= {self.num} * (na + nb - shared)").select("a", "b", "shared", "na", "nb")
+
+    def _pairs(self, placed: DataFrame, meet: str, which: str) -> DataFrame:
+        """Candidate pairs ``(a, b, na, nb)`` of a bucket that pass the size and position bounds and ``meet``.
+
+        ``which`` says of a bucket (members, lowest and highest group) whether it has any.
+        Members keep their salt on one side and go to all salts of their bucket on the other.
+        """
+        groups = placed.groupBy("tok", "salt").agg(F.count("*").alias("m"), F.min("grp").alias("low"), F.max("grp").alias("high"))
+        buckets = groups.groupBy("tok").agg(F.sum("m").alias("m"), F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list("salt").alias("salts")).where(which)
+        live = buckets.select("tok", "salts", F.explode("salts").alias("salt"))
+        members = placed.join(live, ["tok", "salt"])
+        one, other = members.drop("salts"), members.withColumn("salt", F.explode("salts")).drop("salts")
+        found = one.alias("x").join(other.alias("y"), F.expr(f"x.tok = y.tok and x.salt = y.salt and x.cls < y.cls and {meet} and {self._bounds()}"))
+        return found.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
+
+    def _bounds(self) -> str:
+        size_ok = "{0} * least(x.n, y.n) >= {1} * greatest(x.n, y.n)".format(self.den, self.num)
+        return f"{size_ok} and 1 + least(x.n - x.pos, y.n - y.pos) >= " + self._needed("x.n", "y.n")
 
     def links(self, docs: DataFrame, id_col: str, text_col: str, scratch: Scratch, every: bool = False) -> tuple[DataFrame, DataFrame]:
         """``(classes(id, text_key, n, cls), links(a, b))``: rows with their class, and class pairs.
@@ -185,16 +270,14 @@ class JaccardJoin:
         """
         bounded_batches(docs.sparkSession)
         source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-        keyed = source.withColumn("text_key", text_key("text"))
-        ids = scratch.keep(keyed.mapInArrow(_class_rows(self.k), "id long, text_key long, n long, cls long"), "ids")
-        classes = ids.where("n > 0").groupBy("cls").agg(F.max("n").alias("n"))
-        first = self._alone(source.mapInArrow(_fragment_rows(self.k, 0), "tok long, cls long"))
+        ids, classes, seed = self._classes(source, scratch)
+        first = self._alone(source.mapInArrow(_fragment_rows(self.k, 0, seed), "tok long, cls long"))
         live = scratch.keep(
             classes.join(first, "cls", "left").withColumn("s", F.coalesce("s", F.lit(0))).where(F.col("s") <= self._room()).select("cls", "n", "s"),
             "live0",
         )
         live_filter = docs.sparkSession.sparkContext.broadcast(_live_filter(live))
-        sets = source.select("id", "text").mapInArrow(_set_rows(self.k, live_filter), _SETS_SCHEMA)
+        sets = source.select("id", "text").mapInArrow(_set_rows(self.k, live_filter, seed), _SETS_SCHEMA)
         sets = sets.groupBy("cls").agg(F.first("n").alias("n"), *(F.first(f"t{f}").alias(f"t{f}") for f in range(FRAGMENTS)))
         sets = scratch.keep(sets.join(live.select("cls", "s"), "cls"), "sets0")
         for f in range(1, FRAGMENTS):
@@ -205,35 +288,28 @@ class JaccardJoin:
             sets = scratch.keep(sets.drop("s").join(live.select("cls", "s"), "cls"), f"sets{f}")
             scratch.drop(f"live{f - 1}", f"sets{f - 1}")
         tokens = sets.select("cls", F.explode(F.concat(*(f"t{f}" for f in range(FRAGMENTS)))).alias("tok"))
-        common = tokens.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
-        shared = tokens.join(common, "tok").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("grams"))
-        ordered = shared.join(sets.select("cls", "n"), "cls").withColumn("own", F.col("n") - F.size("grams"))
-        prefix = ordered.withColumn("take", (self._room() + 1 - F.col("own")).cast("int")).where("take > 0")
+        ordered, segments = self._segments(tokens, sets.select("cls", "n"), scratch)
+        scratch.drop(f"sets{FRAGMENTS - 1}", f"live{FRAGMENTS - 1}", "classes", "common")
+        prefix = ordered.withColumn("own", F.col("n") - F.size("grams")).withColumn("take", (self._room() + 1 - F.col("own")).cast("int")).where("take > 0")
         prefix = prefix.select("cls", "n", "own", F.posexplode(F.slice("grams", F.lit(1), F.col("take"))).alias("at", "gram"))
-        prefix = scratch.keep(prefix.select("cls", "n", (F.col("own") + F.col("at") + 1).alias("pos"), F.col("gram.tok").alias("tok")), "prefix")
-        size_ok = "{0} * least(x.n, y.n) >= {1} * greatest(x.n, y.n)".format(self.den, self.num)
-        room_ok = "1 + least(x.n - x.pos, y.n - y.pos) >= " + self._needed("x.n", "y.n")
-        # The leader of a bucket is the member with most places behind the token.
-        leaders = prefix.groupBy("tok").agg(F.max(F.struct(F.expr("(n - pos) / n").alias("rest"), "cls", "n", "pos")).alias("top")).select("tok", "top.*")
-        star = prefix.alias("x").join(leaders.alias("y"), F.expr(f"x.tok = y.tok and x.cls <> y.cls and {size_ok} and {room_ok}"))
-        star = star.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-        star_links = scratch.keep(self._verified(star, sets), "star_links")
-        groups = star_labels(star_links, "a", "b")
+        salt = F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int").alias("salt")
+        prefix = scratch.keep(prefix.select("cls", "n", (F.col("own") + F.col("at") + 1).alias("pos"), F.col("gram.tok").alias("tok"), salt), "prefix")
+        scratch.drop("ordered")
+        # The leader of a bucket is the member with most places behind the n-gram; it goes to each salt of the bucket.
+        best = prefix.groupBy("tok", "salt").agg(F.max(F.struct(F.expr("(n - pos) / n").alias("rest"), "cls", "n", "pos")).alias("top"), F.count("*").alias("m"))
+        leaders = best.groupBy("tok").agg(F.max("top").alias("top"), F.sum("m").alias("m"), F.collect_list("salt").alias("salts")).where("m > 1")
+        leaders = leaders.select("tok", "top.cls", "top.n", "top.pos", F.explode("salts").alias("salt"))
+        star = prefix.alias("x").join(leaders.alias("y"), F.expr(f"x.tok = y.tok and x.salt = y.salt and x.cls <> y.cls and {self._bounds()}"))
+        pick = lambda a, b: F.when(F.expr("x.cls < y.cls"), F.col(a)).otherwise(F.col(b))
+        star = star.select(pick("x.cls", "y.cls").alias("a"), pick("y.cls", "x.cls").alias("b"), pick("x.n", "y.n").alias("na"), pick("y.n", "x.n").alias("nb")).distinct()
+        star_links = scratch.keep(self._verified(star, segments), "star_links")
+        groups = star_labels(star_links, "a", "b", scratch=scratch)
         placed = prefix.join(groups.withColumnRenamed("id", "cls"), "cls", "left").withColumn("grp", F.coalesce("component", "cls"))
-        placed = scratch.keep(placed.select("tok", "cls", "n", "pos", "grp"), "placed")
-        cross = placed.alias("x").join(placed.alias("y"), F.expr(f"x.tok = y.tok and x.cls < y.cls and x.grp <> y.grp and {size_ok} and {room_ok}"))
-        cross = cross.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-        cross_links = scratch.keep(self._verified(cross, sets), "cross_links")
+        placed = scratch.keep(placed.select("tok", "salt", "cls", "n", "pos", "grp"), "placed")
+        cross_links = scratch.keep(self._verified(self._pairs(placed, "x.grp <> y.grp", "low <> high"), segments), "cross_links")
         if not every:
             return ids, star_links.unionByName(cross_links)
-        # A bucket's pairs are dealt over as many tasks as it has thousands of members.
-        salts = placed.groupBy("tok").agg(F.expr(f"cast(count(*) div {BUCKET_ROWS} as int)").alias("more"))
-        salted = placed.join(salts, "tok")
-        one = salted.withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("more") + 1).cast("int"))
-        other = salted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("more"))))
-        inside = one.alias("x").join(other.alias("y"), F.expr(f"x.tok = y.tok and x.salt = y.salt and x.cls < y.cls and x.grp = y.grp and {size_ok} and {room_ok}"))
-        inside = inside.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-        inside_links = scratch.keep(self._verified(inside, sets), "inside_links")
+        inside_links = scratch.keep(self._verified(self._pairs(placed, "x.grp = y.grp", "m > 1"), segments), "inside_links")
         return ids, inside_links.unionByName(cross_links)
 
     def n_links(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,7 +325,9 @@ class JaccardJoin:
         near = both.join(texts.withColumnRenamed("cls", "b"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("texts").alias("near"))
         counted = texts.join(near, "cls", "left").select("cls", (F.col("texts") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
         out = ids.join(counted, "cls", "left")
-        return out.select("id", "text_key", "n", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        out = scratch.keep(out.select("id", "text_key", "n", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "counted")
+        scratch.drop_all_but("counted")
+        return out
 
     def components(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """``(id, text_key, n, grp, component)`` per row.
@@ -259,14 +337,16 @@ class JaccardJoin:
         """
         scratch = Scratch(docs.sparkSession, "jaccard")
         ids, links = self.links(docs, id_col, text_col, scratch)
-        labels = star_labels(links, "a", "b").withColumnRenamed("id", "cls")
+        labels = star_labels(links, "a", "b", scratch=scratch).withColumnRenamed("id", "cls")
         classes = ids.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"))
         grouped = classes.join(labels, "cls", "left").withColumn("grp", F.coalesce("component", "cls")).select("cls", "rep", "grp")
         lowest = grouped.groupBy("grp").agg(F.min("rep").alias("low"))
         named = grouped.join(lowest, "grp").select("cls", "grp", "low")
         out = ids.join(named, "cls", "left")
-        scratch.drop("sets3", "prefix", "placed", "live3")
-        return out.select("id", "text_key", "n", "grp", F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("id")).alias("component"))
+        out = out.select("id", "text_key", "n", "grp", F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("id")).alias("component"))
+        out = scratch.keep(out, "components")
+        scratch.drop_all_but("components")
+        return out
 
     def one_per_group(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """The rows of ``docs`` with the smallest id of each linked group.

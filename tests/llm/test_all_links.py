@@ -16,7 +16,7 @@ def shingle_set(text, k):
 
 
 def test_links_inside_groups(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BUCKET_ROWS", 3)
+    monkeypatch.setattr(jaccard_join, "SALTS", 3)
     rng = random.Random(8)
     rows = []
     for g in range(6):
