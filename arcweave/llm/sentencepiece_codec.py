@@ -7,6 +7,11 @@ leftmost non-overlapping occurrences at once and compacts; it ends when no pair
 is left.  Where a merge forms a pair that the library would take first (a rank
 not above the one being merged), that word merges one occurrence in the round.
 
+A word of more than ``LONG_WORD`` characters is cut further: no merge crosses a
+place over which no vocabulary piece that stands in the word reaches, so the parts
+on both sides are words of their own.  Text without spaces, however long, becomes
+short words that are merged together.
+
 Defined results: null or empty text encodes to no ids and decodes to the empty
 string; any other white space, control strings such as ``<s>`` and unknown
 characters are ordinary text (byte pieces where the vocabulary lacks them).  As
@@ -24,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from arcweave.llm.text import bounded_batches
+from arcweave.llm.text import bounded_batches, mix
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -33,6 +38,14 @@ _CODE_POINTS = 0x110000
 #: Distinct words kept between chunks of one task.
 CACHE_WORDS = 250_000
 _CHUNK_CHARS = 1 << 19
+#: Characters from which a word is searched for places that no piece crosses.
+LONG_WORD = 48
+_BASE = np.uint64(0xD1342543DE82EF95)
+_BLOCK_CHARS = 1 << 18
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -137,9 +150,29 @@ class SentencePieceCodec:
             alone = "".join(c for c in "\n\r\t" if not any(c in p for p in joined))
             rest = rf"[^{SPACE}{re.escape(alone)}]"
             self.cut = re.compile(rf"(?s){SPACE}*{rest}+|{SPACE}+|[{re.escape(alone)}]+" if alone else rf"(?s){SPACE}*{rest}+|{SPACE}+")
+        by_size: dict[int, list[str]] = {}
+        for piece in joined:
+            by_size.setdefault(len(piece), []).append(piece)
+        self.reach = max(by_size, default=1)
+        self.powers = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(_BLOCK_CHARS + 2 * self.reach, _BASE))])
+        inverse = np.uint64(pow(int(_BASE), -1, 2**64))
+        self.inverses = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(self.powers) - 1, inverse))])
+        #: Number of characters to the sorted hashes of the pieces that have as many.
+        self.piece_hashes = {n: np.unique(self._hash_rows("".join(pieces), n)) for n, pieces in by_size.items()}
         self.cache: dict[str, int] = {}
         self._forget()
 
+    def _hash_rows(self, text: str, size: int) -> np.ndarray:
+        """Hashes of the consecutive runs of ``size`` characters."""
+        values = mix(_points(text).astype(np.uint64) + np.uint64(1)).reshape(-1, size)
+        return mix((values * self.powers[:size]).sum(1, dtype=np.uint64))
+
+    def _hashes(self, points: np.ndarray, size: int) -> np.ndarray:
+        """Hash of the ``size`` characters from each place; equal characters have equal hashes."""
+        total = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum(mix(points.astype(np.uint64) + np.uint64(1)) * self.powers[: len(points)], out=total[1:])
+        return mix((total[size:] - total[:-size]) * self.inverses[: len(total) - size])
+
     def _forget(self) -> None:
         """Start an empty cache: each word's place in flat arrays of ids."""
         self.cache.clear()
@@ -148,6 +181,26 @@ class SentencePieceCodec:
 
     # ---- encoding -------------------------------------------------------
 
+    def parts_of(self, word: str) -> list[str]:
+        """The word cut where no piece that stands in it crosses."""
+        points, cuts = _points(word), [np.zeros(1, np.int64)]
+        for first in range(0, len(points), _BLOCK_CHARS):
+            # Pieces that cross a place of this block begin and end within reach of it.
+            low, high = max(0, first - self.reach), min(len(points), first + _BLOCK_CHARS + self.reach)
+            some = points[low:high]
+            crossed = np.zeros(len(some) + 1, np.int64)
+            for size, keys in self.piece_hashes.items():
+                if size > len(some):
+                    continue
+                found = self._hashes(some, size)
+                begin = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, found), len(keys) - 1)] == found)
+                crossed[begin + 1] += 1
+                crossed[begin + size] -= 1
+            free = np.flatnonzero(np.cumsum(crossed) == 0) + low
+            cuts.append(free[(free > first) & (free <= min(first + _BLOCK_CHARS, len(points) - 1))])
+        bounds = np.append(np.concatenate(cuts), len(points)).tolist()
+        return [word[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
     def _pair_ranks(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and table index of the pair starting at each symbol."""
         rank, index = np.full(len(symbols), _NO_PAIR), np.zeros(len(symbols), np.int64)
@@ -237,6 +290,8 @@ class SentencePieceCodec:
         for text in texts:
             marked = (text or "").replace(" ", SPACE)
             words = self.cut.findall(SPACE + marked if self.dummy_prefix else marked) if marked else []
+            if max(map(len, words), default=0) > LONG_WORD:
+                words = [part for word in words for part in (self.parts_of(word) if len(word) > LONG_WORD else (word,))]
             flat += words
             counts.append(len(words))
         unseen = set(flat).difference(self.cache)
@@ -308,6 +363,17 @@ class SentencePieceCodec:
         return "".join(out)[skip:]
 
 
+_codecs: dict[bytes, SentencePieceCodec] = {}
+
+
+def _codec_of(model: bytes) -> SentencePieceCodec:
+    """The codec of the model that this worker used last, or a new one."""
+    if model not in _codecs:
+        _codecs.clear()
+        _codecs[model] = SentencePieceCodec(model)
+    return _codecs[model]
+
+
 def encode_and_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, ids array<int>, decoded string)`` for every row.
 
@@ -319,7 +385,7 @@ def encode_and_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id",
         model = f.read()
 
     def run(batches):
-        codec = SentencePieceCodec(model)
+        codec = _codec_of(model)
         for batch in batches:
             texts, held = [], 0
             done = 0
