@@ -8,22 +8,28 @@ shingles (the weight is the shingle's count; a window that shares no shingle
 with any item has similarity 0).  Fingerprints of items of the same length are
 found by multi-index hashing: both are cut into four blocks of 16 bits, and two
 fingerprints within ``radius`` differ by at most ``radius // 4`` bits in some
-block, so looking up every block value within that distance misses none.
-Candidates within the radius are verified by the exact weighted Jaccard
-similarity of their shingle counts.
+block, so looking up every block value within that distance misses none.  The
+index holds each item once per block, in the order of its block value; the
+values near a window's are found on the window's side.  Candidates within the
+radius are verified by the exact weighted Jaccard similarity of their shingle
+counts.
 
-Items come to the tasks in blocks of at most ``block_items``, one pass each, so
-memory does not depend on the number of items.
+Items come to the tasks in blocks of at most ``block_items``, one pass each.  An
+item of 50 words takes less than 1 KB (about 20 MB for a full block, whatever the
+number of items); the size of each block is logged.
 
 Defined results: words are Unicode lower-cased; an item or window of fewer than
-``k`` words is one shingle (windows inside a longer document are compared with
-such items only if ``short_windows`` is set, by equality); null and blank items and texts match nothing; repeated
+``k`` words is one shingle, so an item of fewer words is found wherever its words
+stand in a row; null and blank items and texts match nothing; of equally similar
+windows the first counts; a similarity of exactly ``least`` is a match; repeated
 items match each under its own id (a null id stays null); repeated rows repeat
-their matches; empty tables give empty results; input columns travel in ``row``.
+their matches; texts of any length are read whole, ``_SPAN`` windows at a time;
+empty tables give empty results; input columns travel in ``row``.
 """
 
 from __future__ import annotations
 
+import logging
 from collections import Counter
 from itertools import combinations
 
@@ -33,10 +39,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from arcweave.llm.text import Words, bounded_batches, mix, shingles, text_bytes
 
+log = logging.getLogger(__name__)
 BLOCKS, BLOCK_BITS = 4, 16
 _MATCH = "array<struct<item_id:long,similarity:double,start_word:long,n_words:long>>"
 _MATCH_TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("start_word", pa.int64()), ("n_words", pa.int64())]))
 _SPAN = 4096
+#: Pairs of a window (or block value) and an item (or mask) that are looked at together.
+_PAIRS = 1 << 21
 
 
 def simhash(columns: np.ndarray) -> np.ndarray:
@@ -65,44 +74,59 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
 class ItemIndex:
     """Multi-index of the items of one block, by their number of words."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], k: int, radius: int, short_windows: bool = False):
+    def __init__(self, items: list[tuple[int | None, str | None]], k: int, radius: int):
         self.k, self.radius = k, radius
         self.ids = [i for i, _ in items]
         texts = pa.array([(t or "").lower() for _, t in items], pa.large_string())
-        self.grams: list[np.ndarray] = []
-        lengths: list[int] = []
+        grams: list[np.ndarray] = [np.zeros(0, np.uint64)]
+        sizes, lengths = [], []
         #: Number of words to {window's shingle: items}, for items of fewer than k words.
         self.short: dict[int, dict[int, list[int]]] = {}
         for first, _, data, offsets in text_bytes(texts):
             words = Words(data, offsets)
             hashes = words.hashes()
-            grams, bounds = shingles(words, hashes, k)
-            self.grams += [grams[bounds[i] : bounds[i + 1]] for i in range(len(offsets) - 1)]
+            found, bounds = shingles(words, hashes, k)
             counts = np.diff(words.bounds)
+            grams.append(found)
+            sizes += np.diff(bounds).tolist()
             lengths += counts.tolist()
-            for n in set(counts[(counts > 0) & (counts < k)].tolist()) if short_windows else ():
+            for n in set(counts[(counts > 0) & (counts < k)].tolist()):
                 whole, at = shingles(words, hashes, n)
                 for i in np.flatnonzero(counts == n):
                     self.short.setdefault(n, {}).setdefault(int(whole[at[i]]), []).append(first + int(i))
         self.short_keys = {n: np.sort(np.array(list(held), np.uint64)) for n, held in self.short.items()}
-        everything = [g for g in self.grams if len(g)]
-        self.known = np.unique(np.concatenate(everything)) if everything else np.zeros(0, np.uint64)
+        self.grams = np.concatenate(grams)
+        self.bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        lengths = np.array(lengths, np.int64)
+        long = np.flatnonzero(lengths >= k)
+        self.known = np.unique(np.concatenate([self.grams_of(i) for i in long])) if len(long) else np.zeros(0, np.uint64)
         self.coarse = np.zeros(1 << 20, bool)
         self.coarse[(self.known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        prints = [simhash(_signs(g).sum(0, dtype=np.int64)[None])[0] if len(g) else np.uint64(0) for g in self.grams]
-        self.prints = np.array(prints, np.uint64)
-        masks = near_masks(radius // BLOCKS)
-        self.by_length: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for length in sorted({n for n in lengths if n}):
-            members = np.array([i for i, n in enumerate(lengths) if n == length])
+        self.prints = np.zeros(len(lengths), np.uint64)
+        for i in long:
+            self.prints[i] = simhash(_signs(self.grams_of(i)).sum(0, dtype=np.int64)[None])[0]
+        #: Number of words to, per block: distinct block values, where the items of each begin, and these items.
+        self.by_length: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for length in np.unique(lengths[long]).tolist():
+            members = np.flatnonzero(lengths == length).astype(np.int32)
             tables = []
             for block in range(BLOCKS):
                 values = _block(self.prints[members], block)
-                keys = (values[:, None] ^ masks[None]).ravel()
-                order = np.argsort(keys, kind="stable")
-                tables.append((keys[order], np.repeat(members, len(masks))[order]))
+                order = np.argsort(values, kind="stable")
+                distinct, starts = np.unique(values[order], return_index=True)
+                tables.append((distinct, np.append(starts, len(members)).astype(np.int32), members[order]))
             self.by_length[length] = tables
 
+    def grams_of(self, item: int) -> np.ndarray:
+        return self.grams[self.bounds[item] : self.bounds[item + 1]]
+
+    @property
+    def nbytes(self) -> int:
+        """Bytes of the arrays, which is nearly all that is sent to the tasks."""
+        tables = [a.nbytes for blocks in self.by_length.values() for table in blocks for a in table]
+        short = sum(100 * len(held) for held in self.short.values())
+        return sum(tables) + short + self.grams.nbytes + self.bounds.nbytes + self.known.nbytes + self.coarse.nbytes + self.prints.nbytes
+
     def hits(self, grams: np.ndarray) -> np.ndarray:
         """Which shingles stand in any item."""
         found = np.zeros(len(grams), bool)
@@ -112,29 +136,52 @@ class ItemIndex:
             found[maybe[self.known[at] == grams[maybe]]] = True
         return found
 
+    def _near_values(self, probes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(probe, value) pairs of sorted distinct block values within the block's distance."""
+        distance = self.radius // BLOCKS
+        masks = near_masks(distance)
+        step = max(1, _PAIRS // max(1, min(len(values), len(masks))))
+        rows, columns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for first in range(0, len(probes), step):
+            some = probes[first : first + step]
+            if len(values) <= len(masks):
+                row, column = np.nonzero(np.bitwise_count(some[:, None] ^ values[None]) <= distance)
+            else:
+                wanted = some[:, None] ^ masks[None]
+                at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+                row, mask = np.nonzero(values[at] == wanted)
+                column = at[row, mask]
+            rows.append(row + first)
+            columns.append(column)
+        return np.concatenate(rows), np.concatenate(columns)
+
     def candidates(self, length: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) pairs within the radius, each once."""
-        windows, items = [], []
-        for block, (keys, members) in enumerate(self.by_length[length]):
-            value = _block(prints, block)
-            low, high = np.searchsorted(keys, value, "left"), np.searchsorted(keys, value, "right")
-            count = high - low
-            window = np.repeat(np.arange(len(prints)), count)
-            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-            windows.append(window)
-            items.append(members[at])
-        window, item = np.concatenate(windows), np.concatenate(items)
-        near = np.bitwise_count(prints[window] ^ self.prints[item]) <= self.radius
-        pairs = np.unique(window[near] * len(self.ids) + item[near])
-        return pairs // len(self.ids), pairs % len(self.ids)
+        tables = self.by_length[length]
+        step = max(1, _PAIRS // len(tables[0][2]))
+        pairs = [np.zeros(0, np.int64)]
+        for first in range(0, len(prints), step):
+            some = prints[first : first + step]
+            for block, (values, starts, members) in enumerate(tables):
+                probes, which = np.unique(_block(some, block), return_inverse=True)
+                probe, value = self._near_values(probes, values)
+                # From each probe to its items, then from each window to those of its probe.
+                at = _spread(starts[value], starts[value + 1] - starts[value])
+                listed = members[at]
+                per_probe = np.bincount(np.repeat(probe, starts[value + 1] - starts[value]), minlength=len(probes))
+                begin = np.cumsum(per_probe) - per_probe
+                window = np.repeat(np.arange(len(some)), per_probe[which])
+                item = listed[_spread(begin[which], per_probe[which])]
+                near = np.bitwise_count(some[window] ^ self.prints[item]) <= self.radius
+                pairs.append((window[near] + first) * len(self.ids) + item[near])
+        found = np.unique(np.concatenate(pairs))
+        return found // len(self.ids), found % len(self.ids)
 
     def matches(self, grams: np.ndarray, n_words: int, found: np.ndarray, least: float) -> list[dict]:
         """Best window of each item that a document (its shingles and their hits) contains."""
         best: dict[int, tuple[float, int, int]] = {}
         for length in self.by_length:
-            width = max(1, length - self.k + 1)
-            if length < self.k and n_words != length:
-                continue  # several windows: short_matches
+            width = length - self.k + 1
             if length > n_words:
                 # The document is one window; at most all its shingles are shared.
                 if n_words < self.k or len(grams) / width < least:
@@ -153,21 +200,19 @@ class ItemIndex:
                 prints = simhash(sums[part - base + width] - sums[part - base])
                 for w, item in zip(*self.candidates(length, prints), strict=True):
                     start = int(part[w])
-                    similarity = weighted_jaccard(grams[start : start + width], self.grams[item])
+                    similarity = weighted_jaccard(grams[start : start + width], self.grams_of(item))
                     if similarity >= least and (item not in best or similarity > best[item][0]):
                         best[item] = (similarity, start, min(length, n_words))
         return [{"item_id": self.ids[i], "similarity": s, "start_word": a, "n_words": n} for i, (s, a, n) in sorted(best.items())]
 
     def short_matches(self, words: Words, hashes: np.ndarray) -> list[tuple[int, dict]]:
-        """(row, match) of items of fewer than k words inside longer rows: their first window."""
+        """(row, match) of items of fewer than k words: their first window."""
         out = []
-        counts = np.diff(words.bounds)
         for n, keys in self.short_keys.items():
             grams, bounds = shingles(words, hashes, n)
             places = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, grams), len(keys) - 1)] == grams)
             rows = np.searchsorted(bounds, places, "right") - 1
-            longer = counts[rows] > n
-            places, rows = places[longer], rows[longer]
+            # A row of fewer words has one shingle, which says so and equals none of these.
             _, firsts = np.unique(np.stack([rows.astype(np.uint64), grams[places]]), axis=1, return_index=True)
             for row, place in zip(rows[firsts].tolist(), places[firsts].tolist(), strict=True):
                 for item in self.short[n][int(grams[place])]:
@@ -175,18 +220,21 @@ class ItemIndex:
         return out
 
 
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``starts[0], starts[0] + 1, ...``: ``counts[i]`` places from each start."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
+
+
 def _block(prints: np.ndarray, block: int) -> np.ndarray:
     return ((prints >> np.uint64(BLOCK_BITS * block)) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
 class Decontaminator:
-    """Find benchmark items in documents at weighted shingle similarity ``least``.
-
-    ``short_windows`` also finds items of fewer than ``k`` words inside longer documents.
-    """
+    """Find benchmark items in documents at weighted shingle similarity ``least``."""
 
-    def __init__(self, k: int = 5, least: float = 0.8, radius: int = 19, block_items: int = 20_000, short_windows: bool = False):
-        self.k, self.least, self.radius, self.block_items, self.short_windows = k, least, radius, block_items, short_windows
+    def __init__(self, k: int = 5, least: float = 0.8, radius: int = 19, block_items: int = 20_000):
+        self.k, self.least, self.radius, self.block_items = k, least, radius, block_items
 
     def match(self, docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
         """``(row, matches)`` for every document; ``row`` holds every input column."""
@@ -197,7 +245,8 @@ class Decontaminator:
         out = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col(text_col).cast("string").alias("text"), F.expr(f"CAST(array() AS {_MATCH})").alias("matches"))
         for block in range(blocks):
             rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).orderBy("id", "text").toArrow()
-            index = ItemIndex(list(zip(rows["id"].to_pylist(), rows["text"].to_pylist(), strict=True)), self.k, self.radius, self.short_windows)
+            index = ItemIndex(list(zip(rows["id"].to_pylist(), rows["text"].to_pylist(), strict=True)), self.k, self.radius)
+            log.info("block %d of %d: %d items, %d bytes", block, blocks, len(index.ids), index.nbytes)
             shared = docs.sparkSession.sparkContext.broadcast(index)
             out = out.mapInArrow(_match_rows(shared, self.k, self.least), f"row {kind}, text string, matches {_MATCH}")
         return out.drop("text")

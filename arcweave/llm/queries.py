@@ -86,7 +86,7 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document and benchmark item that it contains, with the best window."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = Decontaminator(k=5, least=0.8, short_windows=True).match(docs, _table(spark, sf_dir, "benchmark"))
+    found = Decontaminator(k=5, least=0.8).match(docs, _table(spark, sf_dir, "benchmark"))
     return found.select(F.col("row.doc_id").alias("doc_id"), F.explode("matches").alias("m")).select("doc_id", "m.*")
 
 
@@ -139,6 +139,7 @@ ORACLE_SQL = {
     "op3_chat_format": sql.OP3,
     "op4_warc": sql.OP4,
     "op6_ngram_jaccard_join": sql.OP6,
+    "op7_decontamination": sql.OP7,
     "op8_quality_rules": sql.OP8,
     "op9_secret_scan": sql.OP9,
 }

@@ -42,6 +42,30 @@ FROM sizes s JOIN reach r ON r.node = s.doc_id GROUP BY 1, 2
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
+# Every window that shares a shingle with an item is compared exactly; there are no fingerprints.
+OP7 = f"""
+WITH dw AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_WORD}') AS w FROM documents),
+iw AS MATERIALIZED (SELECT row_number() OVER () AS item, item_id, regexp_extract_all(lower(coalesce(text, '')), '{_WORD}') AS w FROM benchmark),
+ig AS MATERIALIZED (SELECT item, item_id, len(w) AS words, g, count(*) AS c FROM (
+  SELECT item, item_id, w, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS g FROM iw WHERE len(w) >= 5)
+  GROUP BY ALL),
+dg AS (SELECT doc_id, len(w) AS doc_words, i - 1 AS pos, array_to_string(list_slice(w, i, i + 4), ' ') AS g
+       FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM dw WHERE len(w) >= 5)),
+hit AS (SELECT doc_id, item, item_id, pos, g, c, words, doc_words, least(words, doc_words) - 4 AS width FROM dg JOIN ig USING (g)),
+placed AS (SELECT *, unnest(range(greatest(0, pos - width + 1), least(pos, doc_words - 4 - width) + 1)) AS start_word FROM hit),
+counted AS (SELECT doc_id, item, item_id, start_word, words, doc_words, width, g, least(count(*), c) AS m FROM placed
+  GROUP BY doc_id, item, item_id, start_word, words, doc_words, width, g, c),
+summed AS (SELECT doc_id, item, item_id, start_word, words, doc_words, width, CAST(sum(m) AS BIGINT) AS shared FROM counted GROUP BY ALL),
+scored AS (SELECT *, shared / (width + words - 4 - shared) AS similarity FROM summed),
+long_items AS (SELECT doc_id, item_id, similarity, start_word, least(words, doc_words) AS n_words FROM scored WHERE similarity >= 0.8
+  QUALIFY row_number() OVER (PARTITION BY doc_id, item ORDER BY similarity DESC, start_word) = 1),
+short_items AS (SELECT doc_id, item_id, CAST(1 AS DOUBLE) AS similarity, min(i) - 1 AS start_word, any_value(len(v)) AS n_words
+  FROM (SELECT doc_id, item, item_id, dw.w AS w, iw.w AS v, unnest(range(1, len(dw.w) - len(iw.w) + 2)) AS i FROM dw, iw WHERE len(iw.w) BETWEEN 1 AND 4)
+  WHERE list_slice(w, i, i + len(v) - 1) = v GROUP BY doc_id, item, item_id)
+SELECT doc_id, item_id, similarity, CAST(start_word AS BIGINT) AS start_word, CAST(n_words AS BIGINT) AS n_words
+FROM (SELECT * FROM long_items UNION ALL SELECT * FROM short_items)
+"""
+
 
 def _prior(rule: str) -> str:
     """Weight and mean of the beta prior of a host rule."""

@@ -155,20 +155,22 @@ def test_one_document_of_each_group(spark):
 
 
 def brute_matches(rows, items, k, least):
+    """By the definition: the weighted Jaccard similarity of every item with every window of its length, or the whole of a shorter text."""
+
     def grams(w):
-        return [tuple(w[i : i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else [tuple(w)] if w else []
+        return Counter([tuple(w[i : i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else [tuple(w)])
 
     out = set()
     for i, t, _ in rows:
         w = WORD.findall((t or "").lower())
         for item, text in items:
             v = WORD.findall((text or "").lower())
-            want = Counter(grams(v))
-            starts = range(len(w) - len(v) + 1) if len(v) >= k else [0] if len(w) == len(v) else []
-            for s in starts if v else []:
-                have = Counter(grams(w[s : s + len(v)]))
-                shared = sum((want & have).values())
-                if shared / (sum(want.values()) + sum(have.values()) - shared) >= least:
+            if not w or not v:
+                continue
+            want = grams(v)
+            for s in range(max(1, len(w) - len(v) + 1)):
+                have = grams(w[s : s + len(v)])
+                if sum((want & have).values()) >= least * sum((want | have).values()):
                     out.add((i, item))
     return out
 

@@ -1,10 +1,14 @@
 """Decontamination of documents shorter than an item, and of items shorter than a shingle."""
 
+import pickle
 import random
 import re
 from collections import Counter
 
-from arcweave.llm.decontaminate import Decontaminator
+import numpy as np
+
+from arcweave.llm import decontaminate
+from arcweave.llm.decontaminate import Decontaminator, ItemIndex
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -44,7 +48,7 @@ def test_short_documents_and_short_items(spark):
     assert len({d for d, i in expected if i is not None and i < 30 and d < 200}) == 60 and (201, 50) in expected
     docs, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     for block in (20_000, 9):
-        found = Decontaminator(block_items=block, short_windows=True).match(docs, table).collect()
+        found = Decontaminator(block_items=block).match(docs, table).collect()
         got = [((r["row"]["doc_id"], m["item_id"]), (m["similarity"], m["start_word"], m["n_words"])) for r in found for m in r["matches"]]
         assert len(got) == len(dict(got)) == len(expected) and dict(got) == expected
         assert len(found) == len(rows)
@@ -62,3 +66,24 @@ def test_the_queries_look_into_short_windows(spark, tmp_path):
     assert {(r["doc_id"], r["item_id"]): (r["start_word"], r["n_words"]) for r in found} == {(1, 1): (1, 2), (2, 2): (0, 37)}
     left = corpus_pipeline.decontamination(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
     assert [r["doc_id"] for r in left.collect()] == [3]
+
+
+def test_index_takes_less_than_a_kilobyte_an_item():
+    rng = random.Random(1)
+    items = [(i, " ".join(f"w{rng.randrange(20_000)}" for _ in range(rng.randrange(15, 60)))) for i in range(5000)]
+    index = ItemIndex(items, 5, 19)
+    assert (index.nbytes - index.coarse.nbytes) / len(items) < 1024
+    assert len(pickle.dumps(index)) < 1.2 * index.nbytes
+
+
+def test_both_ways_of_looking_up_block_values_agree(monkeypatch):
+    rng = np.random.Generator(np.random.PCG64(4))
+    index = ItemIndex([(0, "a b c d e f")], 5, 11)
+    values = np.unique(rng.integers(0, 2**16, 3000).astype(np.uint16))
+    probes = np.unique(rng.integers(0, 2**16, 50).astype(np.uint16))
+    expected = {(i, j) for i, p in enumerate(probes.tolist()) for j, v in enumerate(values.tolist()) if (p ^ v).bit_count() <= 2}
+    for pairs in (1 << 21, 500):
+        monkeypatch.setattr(decontaminate, "_PAIRS", pairs)
+        for size in (3000, 100):
+            found = set(zip(*(x.tolist() for x in index._near_values(probes, values[:size])), strict=True))
+            assert found == {(i, j) for i, j in expected if j < size}
