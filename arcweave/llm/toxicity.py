@@ -5,20 +5,26 @@ of toxic text that toxic documents hold significantly more often, and is laid
 over the ordinary one, so that both know the language equally well.  A window
 that compresses shorter with the toxic dictionary than with the ordinary one
 speaks toxic text; a document's window gains are turned into a probability by a
-logistic calibration fitted on labelled documents that trained no dictionary.
+logistic calibration, fitted on the gains that each third of the labelled
+documents has by dictionaries of the other two.
 
 Learning uses at most ``max_rows`` labelled documents of each class (those with
-the smallest hash of their id) of at most ``max_train_chars`` characters, so
-it is bounded at any corpus size.  Scoring reads every text whole.
+the smallest hash of their id), and of a text longer than ``max_chunks`` chunks of
+512 characters as many chunks, evenly spread over the whole of it, so it is bounded
+at any corpus size and no labelled text is passed over.  Scoring reads every text
+whole, window by window.
 
 Defined results: null and empty texts get the score of a text without any gain;
-rows repeat with equal scores; an empty table gives an empty result; without
-labels of both classes every text gets the share of toxic labels (0 if none);
-labels that are null are ignored; only the two named columns are read.
+rows repeat with equal scores; an empty table gives an empty result; labels that
+are null are ignored; only the two named columns are read.  Without labels of both
+classes, or without words that tell them apart, every text gets the share of toxic
+labels (0 if none), and a warning is logged.  Where zstandard finds too few samples
+to train on, the samples' last bytes are the dictionary, and a warning is logged.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from collections import Counter
 from dataclasses import dataclass
@@ -30,8 +36,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from arcweave.llm.text import bounded_batches
 
+log = logging.getLogger(__name__)
 _TRIM = b".,;:!?\"'()[]{}|%*#&$<>"
 WINDOW, STRIDE = 64, 48
+_CHUNK = 512
 #: Stands at the end of both dictionaries and before every window, so that each
 #: frame holds a compressed block: zstandard stores tiny blocks that hardly shrink
 #: as they are, which would hide what the window itself gains.
@@ -131,34 +139,43 @@ def _telling_words(texts: list[tuple[bytes, int]], least: int, margin: float, z_
 
 
 def _dictionary(size: int, samples: list[bytes], **options) -> bytes:
-    """Content of a trained dictionary, or the samples themselves if zstandard finds them too few."""
+    """Content of a trained dictionary; where zstandard finds the samples too few, their last ``size`` bytes."""
     try:
         return zstandard.train_dictionary(size, samples, **options).as_bytes()
-    except zstandard.ZstdError:
+    except zstandard.ZstdError as refused:
+        log.warning("a dictionary is %d bytes of %d samples as they are: %s", size, len(samples), refused)
         return b"".join(samples)[-size:]
 
 
-def train(texts: list[tuple[str | None, int]], least: int = 5, margin: float = 1.0, z_least: float = 3.0) -> ToxicityModel:
-    """Fit dictionaries on two thirds of labelled texts and the calibration on the rest."""
-    rows = [(_lower(t), y) for t, y in texts]
-    share = sum(y for _, y in rows) / len(rows) if rows else 0.0
-    fit, held = [r for i, r in enumerate(rows) if i % 3], [r for i, r in enumerate(rows) if not i % 3]
-    telling = _telling_words(fit, least, margin, z_least) if {y for _, y in fit} == {0, 1} else set()
-    if not telling or {y for _, y in held} != {0, 1}:
-        return ToxicityModel(b"", b"", (), (), share)
-    plain = [data[i : i + 512] for data, y in fit if not y for i in range(0, len(data), 512)]
-    spans = [b" " + b" ".join(hit) + b" " for data, y in fit if y and (hit := [w for w in _words(data) if w in telling])]
-    ordinary = _dictionary(_ORDINARY_BYTES, plain)
+def _dictionaries(rows: list[tuple[bytes, int]], least: int, margin: float, z_least: float) -> tuple[bytes, bytes] | None:
+    """Ordinary and toxic dictionary contents; none where a class or telling words are missing."""
+    telling = _telling_words(rows, least, margin, z_least) if {y for _, y in rows} == {0, 1} else set()
+    if not telling:
+        return None
+    plain = [data[i : i + _CHUNK] for data, y in rows if not y for i in range(0, len(data), _CHUNK)]
+    spans = [b" " + b" ".join(hit) + b" " for data, y in rows if y and (hit := [w for w in _words(data) if w in telling])]
     # The most frequent telling words also stand once at the end, nearest to the window.
     common = [w for w, _ in sorted(Counter(w for x in spans for w in set(x.split())).items(), key=lambda x: (x[1], x[0]))[-256:]]
-    toxic = _dictionary(_TOXIC_BYTES, spans, k=32, d=6) + b" " + b" ".join(common) + b" "
-    packers = [_packer(ordinary), _packer(ordinary + toxic)]
-    gains = [_gains(data, *packers) for data, _ in held]
-    y = np.array([label for _, label in held], float)
-    plain_gains = np.concatenate([g for g, label in zip(gains, y, strict=True) if not label])
+    return _dictionary(_ORDINARY_BYTES, plain), _dictionary(_TOXIC_BYTES, spans, k=32, d=6) + b" " + b" ".join(common) + b" "
+
+
+def train(texts: list[tuple[str | None, int]], least: int = 5, margin: float = 2.0, z_least: float = 2.5) -> ToxicityModel:
+    """Fit the dictionaries on all labelled texts, and the calibration on gains that each third has by dictionaries of the others."""
+    rows = [(_lower(t), y) for t, y in texts]
+    share = sum(y for _, y in rows) / len(rows) if rows else 0.0
+    gains: list[tuple[list[int], int]] = []
+    learnt = _dictionaries(rows, least, margin, z_least)
+    for third in range(3):
+        others = learnt and _dictionaries([r for i, r in enumerate(rows) if i % 3 != third], least, margin, z_least)
+        if not others:
+            log.warning("no telling words among %d texts (%.3f toxic): every text gets that share as its score", len(rows), share)
+            return ToxicityModel(b"", b"", (), (), share)
+        packers = [_packer(others[0]), _packer(others[0] + others[1])]
+        gains += [(_gains(data, *packers), y) for i, (data, y) in enumerate(rows) if i % 3 == third]
+    plain_gains = np.concatenate([g for g, label in gains if not label])
     usual = tuple(float(((plain_gains >= level).sum() + 0.5) / (len(plain_gains) + 1)) for level in GAIN_LEVELS)
-    x = np.array([_features(g, usual) for g in gains])
-    return ToxicityModel(ordinary, toxic, usual, tuple(_logistic(x, y)), share)
+    x, y = np.array([_features(g, usual) for g, _ in gains]), np.array([label for _, label in gains], float)
+    return ToxicityModel(*learnt, usual, tuple(_logistic(x, y)), share)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> np.ndarray:
@@ -183,8 +200,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50
 class ToxicityClassifier:
     """Fit on labelled documents, then score any table of texts."""
 
-    def __init__(self, max_rows: int = 3000, max_train_chars: int = 20_000):
-        self.max_rows, self.max_train_chars = max_rows, max_train_chars
+    def __init__(self, max_rows: int = 3000, max_chunks: int = 256):
+        self.max_rows, self.max_chunks = max_rows, max_chunks
         self.model: ToxicityModel | None = None
 
     def fit(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityClassifier:
@@ -196,12 +213,19 @@ class ToxicityClassifier:
             part = usable.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(self.max_rows)
             picked = part if picked is None else picked.unionByName(part)
         # At most 2 * max_rows small rows, whatever the size of the labels: they may be broadcast.
-        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-        texts = texts.where(F.length("text") <= self.max_train_chars).join(F.broadcast(picked), "id")
+        texts = docs.select(F.col(id_col).cast("long").alias("id"), self._learnt_part(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"))
+        texts = texts.join(F.broadcast(picked), "id")
         rows = texts.groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").toArrow()
         self.model = train(list(zip(rows["text"].to_pylist(), rows["label"].to_pylist(), strict=True)))
         return self
 
+    def _learnt_part(self, text: Column) -> Column:
+        """The text, or evenly spread chunks of one that is too long to learn from whole."""
+        starts = F.sequence(F.lit(0), F.lit(self.max_chunks - 1))
+        at = lambda i: F.floor(i * (F.length(text) - _CHUNK) / (self.max_chunks - 1)).cast("int") + 1
+        spread = F.array_join(F.transform(starts, lambda i: F.substring(text, at(i), F.lit(_CHUNK))), "\n")
+        return F.when(F.length(text) <= self.max_chunks * _CHUNK, text).otherwise(spread)
+
     def score(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """``(row, score)``; ``row`` holds every input column."""
         bounded_batches(docs.sparkSession)
