@@ -2,13 +2,15 @@
 
 Each document is measured once.  Rule failures are summed per host (partial
 aggregates, so a host may hold any share of the rows), each host's failure rate
-is shrunk towards the corpus by a beta prior fitted to the hosts by the method
-of moments, and a host whose shrunk rate of any rule exceeds ``reject_above``
+is shrunk towards the corpus by a beta prior fitted to the hosts by the moments
+of the beta-binomial distribution (what hosts vary beyond the chance of their
+own numbers of documents), and a host whose shrunk rate of any rule exceeds ``reject_above``
 rejects its documents.  Verdicts are joined back to the measured rows, not to
 the texts.
 
 Defined results: null, empty and blank texts have no words and fail the base
-rule; a null host is one host of its own; repeated rows count and come back as
+rule; a text of any length is measured whole; a rate of exactly ``reject_above``
+does not reject; a null host is one host of its own; repeated rows count and come back as
 often as they stand; an empty table gives an empty result; input columns travel
 in the struct ``row``.
 """
@@ -93,16 +95,16 @@ class HostQuality:
         """``(host, host_docs, rate_<rule>..., host_ok)`` per host."""
         fails = [F.sum(F.expr(f"CAST({rule} AS LONG)")).alias(f"fails_{name}") for name, rule in HOST_RULES.items()]
         hosts = measured.groupBy("host").agg(F.count("*").alias("host_docs"), *fails)
-        moments = []
+        sums = [F.count("*").alias("hosts"), F.sum("host_docs").alias("docs"), F.sum(F.col("host_docs").cast("double") ** 2).alias("squares")]
         for name in HOST_RULES:
-            rate = F.col(f"fails_{name}") / F.col("host_docs")
-            moments += [F.avg(rate).alias(f"mean_{name}"), F.var_pop(rate).alias(f"var_{name}")]
-        fitted = hosts.agg(*moments).first()
+            x = F.col(f"fails_{name}")
+            sums += [F.sum(x).alias(f"x_{name}"), F.sum(x * x / F.col("host_docs")).alias(f"q_{name}")]
+        fitted = hosts.agg(*sums).first()
         ok = F.lit(True)
         rates = []
         for name in HOST_RULES:
-            a, b = beta_prior(fitted[f"mean_{name}"], fitted[f"var_{name}"])
-            rate = (F.col(f"fails_{name}") + F.lit(a)) / (F.col("host_docs") + F.lit(a + b))
+            mean, weight = beta_prior(fitted["hosts"], fitted["docs"], fitted["squares"], fitted[f"x_{name}"], fitted[f"q_{name}"])
+            rate = F.lit(mean) if weight is None else (F.col(f"fails_{name}") + F.lit(mean * weight)) / (F.col("host_docs") + F.lit(weight))
             rates.append(rate.alias(f"rate_{name}"))
             ok = ok & (rate <= self.reject_above)
         return hosts.select("host", "host_docs", *rates, ok.alias("host_ok"))
@@ -120,15 +122,24 @@ class HostQuality:
         return joined.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", ~F.col("base_failed") & F.col("host_ok"))
 
 
-def beta_prior(mean: float | None, variance: float | None) -> tuple[float, float]:
-    """Beta parameters with the given mean and variance of rates.
+def beta_prior(hosts: int, docs: int | None, squares: float | None, fails: int | None, scaled: float | None) -> tuple[float, float | None]:
+    """Mean and weight (in documents) of the beta prior of a rule, from sums over hosts.
 
-    Hosts that all agree say nothing of their spread: the prior then weighs as
-    much as 1000 documents.  Its weight never falls below 2 documents.
+    ``squares`` is the sum of squared numbers of documents and ``scaled`` that of squared
+    failures over documents.  The hosts' spread around the mean, weighted by documents,
+    less what chance alone gives, is the correlation within hosts; the prior weighs as
+    much as ``1 / correlation - 1`` documents.  Where hosts vary no more than by chance,
+    or nothing can be said of it (one host, one document for each, all or none failing),
+    the weight is None: every host has the mean.
     """
-    if mean is None:
-        return 1.0, 1.0
-    mean = min(max(mean, 1e-3), 1 - 1e-3)
-    weight = mean * (1 - mean) / variance - 1 if variance and variance > 0 else 1000.0
-    weight = min(max(weight, 2.0), 1000.0)
-    return mean * weight, (1 - mean) * weight
+    if not docs:
+        return 0.0, None
+    mean = fails / docs
+    free = docs - squares / docs - (hosts - 1)
+    if mean in (0.0, 1.0) or free <= 0:
+        return mean, None
+    spread = scaled - fails * fails / docs
+    correlation = (spread - mean * (1 - mean) * (hosts - 1)) / (mean * (1 - mean) * free)
+    if correlation <= 0:
+        return mean, None
+    return mean, max(1 / correlation - 1, 0.0)

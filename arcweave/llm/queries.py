@@ -97,6 +97,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), *measures, "base_failed", "kept")
 
 
+def host_verdicts_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The host rules where a host is the number of digits of the text length: those of short texts are rejected."""
+    docs = _table(spark, sf_dir, "documents")
+    hosts = docs.withColumn("host", F.length(F.col("n_chars").cast("string")).cast("string"))
+    found = HostQuality().verdicts(hosts, host_col="host", carry=["doc_id"])
+    return found.select(F.col("row.doc_id").alias("doc_id"), "host", "host_ok", "kept")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every text by kind, and digests of their spans."""
     scan = SecretScan()
@@ -131,6 +139,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_secret_scan": op9_secret_scan,
     "op10_sentencepiece": op10_sentencepiece,
+    "host_verdicts_by_length": host_verdicts_by_length,
 }
 
 ORACLE_SQL = {
@@ -141,5 +150,6 @@ ORACLE_SQL = {
     "op6_ngram_jaccard_join": sql.OP6,
     "op7_decontamination": sql.OP7,
     "op8_quality_rules": sql.OP8,
+    "host_verdicts_by_length": sql.HOSTS_BY_LENGTH,
     "op9_secret_scan": sql.OP9,
 }

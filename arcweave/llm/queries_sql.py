@@ -68,16 +68,22 @@ FROM (SELECT * FROM long_items UNION ALL SELECT * FROM short_items)
 
 
 def _prior(rule: str) -> str:
-    """Weight and mean of the beta prior of a host rule."""
-    mean = f"least(greatest(avg(fails_{rule} / host_docs), 0.001), 0.999)"
-    spread = f"var_pop(fails_{rule} / host_docs)"
-    weight = f"CASE WHEN {spread} > 0 THEN {mean} * (1 - {mean}) / {spread} - 1 ELSE 1000.0 END"
-    return f"{mean} AS mean_{rule}, least(greatest({weight}, 2.0), 1000.0) AS weight_{rule}"
+    """Mean and weight of the beta prior of a host rule; the weight is null where hosts vary no more than by chance."""
+    mean, k, n = f"(sum(fails_{rule}) / sum(host_docs))", "(count(*) - 1)", "sum(host_docs)"
+    free = f"({n} - sum(CAST(host_docs AS DOUBLE) * host_docs) / {n} - {k})"
+    spread = f"(sum(fails_{rule} * fails_{rule} / host_docs) - sum(fails_{rule}) * sum(fails_{rule}) / {n})"
+    inside = f"(({spread} - {mean} * (1 - {mean}) * {k}) / ({mean} * (1 - {mean}) * {free}))"
+    known = f"{mean} > 0 AND {mean} < 1 AND {free} > 0"
+    return f"{mean} AS mean_{rule}, CASE WHEN {known} THEN CASE WHEN {inside} > 0 THEN greatest(1 / {inside} - 1, 0) END END AS weight_{rule}"
+
+
+def _rate(rule: str) -> str:
+    return f"CASE WHEN weight_{rule} IS NULL THEN mean_{rule} ELSE (fails_{rule} + mean_{rule} * weight_{rule}) / (host_docs + weight_{rule}) END"
 
 
 _RULES = ("base", "symbols", "dup_lines", "word_length")
-OP8 = f"""
-WITH words AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+_VERDICTS = f"""
+WITH words AS (SELECT doc_id, {{host}} AS source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
 triples AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS pos, w FROM words WHERE len(w) >= 3),
 windows AS (SELECT doc_id, pos, array_to_string(list_slice(w, pos, pos + 2), ' ') AS win FROM triples),
 twice AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, win) AS c FROM windows) WHERE c >= 2),
@@ -97,11 +103,12 @@ f AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_fa
 hosts AS (SELECT source, count(*) AS host_docs, sum(base_failed::BIGINT) AS fails_base, sum(f_symbols::BIGINT) AS fails_symbols,
             sum(f_dup_lines::BIGINT) AS fails_dup_lines, sum(f_word_length::BIGINT) AS fails_word_length FROM f GROUP BY source),
 prior AS (SELECT {", ".join(map(_prior, _RULES))} FROM hosts),
-judged AS (SELECT source, {" AND ".join(f"(fails_{r} + mean_{r} * weight_{r}) / (host_docs + weight_{r}) <= 0.5" for r in _RULES)} AS host_ok
+judged AS (SELECT source, {" AND ".join(f"{_rate(r)} <= 0.5" for r in _RULES)} AS host_ok
            FROM hosts, prior)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_ok AS kept
-FROM f JOIN judged j ON f.source IS NOT DISTINCT FROM j.source
+SELECT {{columns}} FROM f JOIN judged j ON f.source IS NOT DISTINCT FROM j.source
 """
+OP8 = _VERDICTS.format(host="source", columns="doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_ok AS kept")
+HOSTS_BY_LENGTH = _VERDICTS.format(host="CAST(length(CAST(n_chars AS VARCHAR)) AS VARCHAR)", columns="doc_id, f.source AS host, host_ok, NOT base_failed AND host_ok AS kept")
 
 
 def _quoted(text: str) -> str:

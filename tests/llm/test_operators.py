@@ -239,9 +239,16 @@ def test_host_quality(spark):
     assert all(not r["kept"] for r in got if r["host"] == "bad") and any(r["base_failed"] is False for r in got if r["host"] == "bad")
     assert len(got) == len(rows)
     assert HostQuality().verdicts(docs.limit(0)).count() == 0
-    a, b = beta_prior(0.2, 0.01)
-    assert a / (a + b) == pytest.approx(0.2) and a * b / ((a + b) ** 2 * (a + b + 1)) == pytest.approx(0.01)
-    assert beta_prior(None, None) == (1.0, 1.0)
+    rng = np.random.Generator(np.random.PCG64(3))
+    n = rng.integers(1, 400, 5000)
+    x = rng.binomial(n, rng.beta(0.2 * 30, 0.8 * 30, 5000))
+    sums = lambda n, x: (len(n), int(n.sum()), float((n * n).sum()), int(x.sum()), float((x * x / n).sum()))
+    mean, weight = beta_prior(*sums(n, x))
+    assert mean == pytest.approx(0.2, abs=0.01) and weight == pytest.approx(30, rel=0.1)
+    assert (beta_prior(*sums(n, rng.binomial(n, 0.2)))[1] or 1e9) > 3000
+    assert beta_prior(*sums(n, n * 0)) == (0.0, None) and beta_prior(*sums(n, n)) == (1.0, None)
+    assert beta_prior(0, None, None, None, None) == (0.0, None) and beta_prior(1, 10, 100.0, 3, 0.9) == (0.3, None)
+    assert beta_prior(*sums(n, n * (np.arange(5000) % 2)))[1] < 0.01
 
 
 # ---- licenses -----------------------------------------------------------
