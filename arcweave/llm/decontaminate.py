@@ -46,6 +46,8 @@ _MATCH_TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.flo
 _SPAN = 4096
 #: Pairs of a window (or block value) and an item (or mask) that are looked at together.
 _PAIRS = 1 << 21
+#: Pairs of windows and items of one length that are looked at as one matrix.
+_FEW_PAIRS = 1 << 16
 
 
 def simhash(columns: np.ndarray) -> np.ndarray:
@@ -76,6 +78,7 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[int | None, str | None]], k: int, radius: int):
         self.k, self.radius = k, radius
+        self.masks = near_masks(radius // BLOCKS)
         self.ids = [i for i, _ in items]
         texts = pa.array([(t or "").lower() for _, t in items], pa.large_string())
         grams: list[np.ndarray] = [np.zeros(0, np.uint64)]
@@ -105,17 +108,21 @@ class ItemIndex:
         self.prints = np.zeros(len(lengths), np.uint64)
         for i in long:
             self.prints[i] = simhash(_signs(self.grams_of(i)).sum(0, dtype=np.int64)[None])[0]
-        #: Number of words to, per block: distinct block values, where the items of each begin, and these items.
-        self.by_length: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        #: Number of words to, per block: distinct block values, where the items of each begin, these items, and
+        #: the value of each item in the order of ``members``.
+        self.by_length: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = {}
+        self.members: dict[int, np.ndarray] = {}
         for length in np.unique(lengths[long]).tolist():
             members = np.flatnonzero(lengths == length).astype(np.int32)
             tables = []
             for block in range(BLOCKS):
                 values = _block(self.prints[members], block)
                 order = np.argsort(values, kind="stable")
-                distinct, starts = np.unique(values[order], return_index=True)
-                tables.append((distinct, np.append(starts, len(members)).astype(np.int32), members[order]))
+                distinct, which, counts = np.unique(values, return_inverse=True, return_counts=True)
+                starts = np.append(0, np.cumsum(counts)).astype(np.int32)
+                tables.append((distinct, starts, members[order], which.astype(np.int32)))
             self.by_length[length] = tables
+            self.members[length] = members
 
     def grams_of(self, item: int) -> np.ndarray:
         return self.grams[self.bounds[item] : self.bounds[item + 1]]
@@ -139,7 +146,7 @@ class ItemIndex:
     def _near_values(self, probes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(probe, value) pairs of sorted distinct block values within the block's distance."""
         distance = self.radius // BLOCKS
-        masks = near_masks(distance)
+        masks = self.masks
         step = max(1, _PAIRS // max(1, min(len(values), len(masks))))
         rows, columns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for first in range(0, len(probes), step):
@@ -158,11 +165,13 @@ class ItemIndex:
     def candidates(self, length: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) pairs within the radius, each once."""
         tables = self.by_length[length]
+        if len(prints) * len(tables[0][2]) <= _FEW_PAIRS:
+            return self._few_candidates(length, prints)
         step = max(1, _PAIRS // len(tables[0][2]))
         pairs = [np.zeros(0, np.int64)]
         for first in range(0, len(prints), step):
             some = prints[first : first + step]
-            for block, (values, starts, members) in enumerate(tables):
+            for block, (values, starts, members, _) in enumerate(tables):
                 probes, which = np.unique(_block(some, block), return_inverse=True)
                 probe, value = self._near_values(probes, values)
                 # From each probe to its items, then from each window to those of its probe.
@@ -177,6 +186,17 @@ class ItemIndex:
         found = np.unique(np.concatenate(pairs))
         return found // len(self.ids), found % len(self.ids)
 
+    def _few_candidates(self, length: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for few windows and items: block values against block values at once."""
+        members = self.members[length]
+        met = np.zeros((len(prints), len(members)), bool)
+        for block, (values, _, _, which) in enumerate(self.by_length[length]):
+            met |= (np.bitwise_count(_block(prints, block)[:, None] ^ values[None]) <= self.radius // BLOCKS)[:, which]
+        window, place = np.nonzero(met)
+        item = members[place]
+        near = np.bitwise_count(prints[window] ^ self.prints[item]) <= self.radius
+        return window[near], item[near]
+
     def matches(self, grams: np.ndarray, n_words: int, found: np.ndarray, least: float) -> list[dict]:
         """Best window of each item that a document (its shingles and their hits) contains."""
         best: dict[int, tuple[float, int, int]] = {}

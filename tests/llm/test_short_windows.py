@@ -87,3 +87,16 @@ def test_both_ways_of_looking_up_block_values_agree(monkeypatch):
         for size in (3000, 100):
             found = set(zip(*(x.tolist() for x in index._near_values(probes, values[:size])), strict=True))
             assert found == {(i, j) for i, j in expected if j < size}
+
+
+def test_both_ways_of_finding_candidates_agree(monkeypatch):
+    rng = np.random.Generator(np.random.PCG64(6))
+    index = ItemIndex([(i, " ".join(f"t{i % 50}_{j}" for j in range(20))) for i in range(200)], 5, 19)
+    prints = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    prints[:200] = index.prints ^ np.uint64(0x8100000000400101)
+    found = []
+    for few in (1 << 20, 0):
+        monkeypatch.setattr(decontaminate, "_FEW_PAIRS", few)
+        found.append(set(zip(*(x.tolist() for x in index.candidates(20, prints)), strict=True)))
+    exact = {(w, i) for w in range(300) for i in range(200) if (int(prints[w]) ^ int(index.prints[i])).bit_count() <= 19}
+    assert found[0] == found[1] == exact
