@@ -21,7 +21,9 @@ bucket, all members are first compared with one leader; only members that end
 in different groups then meet each other, so a group of mutual near copies
 costs a number of pairs in proportion to its size.  The other links inside the
 groups are found only on request (``links(every=True)``, ``n_links``).  Members of a
-bucket are dealt over ``SALTS`` tasks.  Nothing is capped.
+bucket are dealt over ``SALTS`` tasks, and large buckets are cut into cells; members
+of a bucket's largest group stay in theirs, so that one large group beside a few
+others is not copied.  Nothing is capped.
 
 Classes are 64-bit hashes of the sets, checked against a second hash; where two
 sets share one, all are hashed anew.
@@ -50,8 +52,10 @@ FRAGMENTS = 4
 #: class within these bounds (128 KB and 64 MB).  It only spares work; what it lets
 #: through is joined exactly afterwards.
 FILTER_BITS = (1 << 20, 1 << 29)
-#: Tasks over which the members of one bucket are dealt.
+#: Tasks over which the members of one bucket are dealt; at most 64, the bits of a long.
 SALTS = 64
+#: Members of a bucket for which it has one more cell to compare them in, up to ``SALTS`` cells.
+CELL_ROWS = 256
 #: Cells in which n-grams are counted to place the cuts: 16 per frequency level.
 _CELLS_PER_LEVEL = 16
 _SETS_SCHEMA = "cls long, n long, " + ", ".join(f"t{f} array<long>" for f in range(FRAGMENTS))
@@ -185,6 +189,12 @@ def partial_overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     return met.select("a", "b", "na", "nb", "frag", F.size(F.array_intersect("left_toks", "right_toks")).cast("long").alias("partial"))
 
 
+def _smaller_first() -> list[Column]:
+    """``(a, b, na, nb)`` of a pair of rows x and y, the smaller class first."""
+    pick = lambda a, b: F.when(F.expr("x.cls < y.cls"), F.col(a)).otherwise(F.col(b))
+    return [pick("x.cls", "y.cls").alias("a"), pick("y.cls", "x.cls").alias("b"), pick("x.n", "y.n").alias("na"), pick("y.n", "x.n").alias("nb")]
+
+
 class JaccardJoin:
     """Link texts whose ``k``-word shingle sets have Jaccard ``>= num / den``."""
 
@@ -242,19 +252,26 @@ class JaccardJoin:
         summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("partial").alias("shared"))
         return summed.where(f"{self.den} * shared >= {self.num} * (na + nb - shared)").select("a", "b", "shared", "na", "nb")
 
-    def _pairs(self, placed: DataFrame, meet: str, which: str) -> DataFrame:
-        """Candidate pairs ``(a, b, na, nb)`` of a bucket that pass the size and position bounds and ``meet``.
+    def _pairs(self, placed: DataFrame, cross: bool) -> DataFrame:
+        """Candidate pairs ``(a, b, na, nb)`` of a bucket that pass the size and position bounds.
 
-        ``which`` says of a bucket (members, lowest and highest group) whether it has any.
-        Members keep their salt on one side and go to all salts of their bucket on the other.
+        They are of different groups with ``cross``, else of one group.  A bucket has a cell
+        for about ``CELL_ROWS`` members.  All members stay in their cell on one side; on the other
+        they go to all cells of their bucket, with ``cross`` except those of its largest group,
+        which need not meet each other.
         """
-        groups = placed.groupBy("tok", "salt").agg(F.count("*").alias("m"), F.min("grp").alias("low"), F.max("grp").alias("high"))
-        buckets = groups.groupBy("tok").agg(F.sum("m").alias("m"), F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list("salt").alias("salts")).where(which)
-        live = buckets.select("tok", "salts", F.explode("salts").alias("salt"))
-        members = placed.join(live, ["tok", "salt"])
-        one, other = members.drop("salts"), members.withColumn("salt", F.explode("salts")).drop("salts")
-        found = one.alias("x").join(other.alias("y"), F.expr(f"x.tok = y.tok and x.salt = y.salt and x.cls < y.cls and {meet} and {self._bounds()}"))
-        return found.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
+        held = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), "salt"))
+        groups = placed.groupBy("tok", "grp").agg(F.count("*").alias("m"), held.alias("held"))
+        buckets = groups.groupBy("tok").agg(F.sum("m").alias("m"), F.count("*").alias("groups"), F.max(F.struct("m", "grp")).alias("largest"), F.bit_or("held").alias("held"))
+        salts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.call_function("shiftright", F.col("held"), s).bitwiseAND(1) == 1)
+        cells = F.least(F.lit(SALTS), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("m") / CELL_ROWS)))).cast("int"))
+        live = buckets.where("groups > 1" if cross else "m > groups").select("tok", F.col("largest.grp").alias("most"), cells.alias("cells"), F.explode(salts).alias("salt"))
+        members = placed.join(live, ["tok", "salt"]).withColumn("stays", F.expr("grp = most") if cross else F.lit(False))
+        members = members.withColumn("cell", F.col("salt") % F.col("cells")).drop("salt", "most")
+        one, other = members.drop("cells"), members.where("not stays").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).drop("cells", "stays")
+        meet = "x.grp <> y.grp" if cross else "x.grp = y.grp"
+        found = one.alias("x").join(other.alias("y"), F.expr(f"x.tok = y.tok and x.cell = y.cell and (x.stays or x.cls < y.cls) and {meet} and {self._bounds()}"))
+        return found.select(*_smaller_first()).distinct()
 
     def _bounds(self) -> str:
         size_ok = "{0} * least(x.n, y.n) >= {1} * greatest(x.n, y.n)".format(self.den, self.num)
@@ -300,16 +317,15 @@ class JaccardJoin:
         leaders = best.groupBy("tok").agg(F.max("top").alias("top"), F.sum("m").alias("m"), F.collect_list("salt").alias("salts")).where("m > 1")
         leaders = leaders.select("tok", "top.cls", "top.n", "top.pos", F.explode("salts").alias("salt"))
         star = prefix.alias("x").join(leaders.alias("y"), F.expr(f"x.tok = y.tok and x.salt = y.salt and x.cls <> y.cls and {self._bounds()}"))
-        pick = lambda a, b: F.when(F.expr("x.cls < y.cls"), F.col(a)).otherwise(F.col(b))
-        star = star.select(pick("x.cls", "y.cls").alias("a"), pick("y.cls", "x.cls").alias("b"), pick("x.n", "y.n").alias("na"), pick("y.n", "x.n").alias("nb")).distinct()
+        star = star.select(*_smaller_first()).distinct()
         star_links = scratch.keep(self._verified(star, segments), "star_links")
         groups = star_labels(star_links, "a", "b", scratch=scratch)
         placed = prefix.join(groups.withColumnRenamed("id", "cls"), "cls", "left").withColumn("grp", F.coalesce("component", "cls"))
         placed = scratch.keep(placed.select("tok", "salt", "cls", "n", "pos", "grp"), "placed")
-        cross_links = scratch.keep(self._verified(self._pairs(placed, "x.grp <> y.grp", "low <> high"), segments), "cross_links")
+        cross_links = scratch.keep(self._verified(self._pairs(placed, cross=True), segments), "cross_links")
         if not every:
             return ids, star_links.unionByName(cross_links)
-        inside_links = scratch.keep(self._verified(self._pairs(placed, "x.grp = y.grp", "m > 1"), segments), "inside_links")
+        inside_links = scratch.keep(self._verified(self._pairs(placed, cross=False), segments), "inside_links")
         return ids, inside_links.unionByName(cross_links)
 
     def n_links(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
