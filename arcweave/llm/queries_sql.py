@@ -1,7 +1,7 @@
 """DuckDB SQL for those queries of this subpackage that SQL can express."""
 
 from arcweave.llm.license_scan import TEMPLATES
-from arcweave.llm.secret_scan import BASE_RULES, MORE_RULES
+from arcweave.llm.secret_scan import MORE_RULES
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WHITE = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
@@ -133,17 +133,25 @@ SELECT doc_id, license, max(c / n) AS containment FROM held JOIN tn USING (templ
 """
 
 
-def _matches(number: int, rule) -> str:
-    r = _quoted(rule.pattern)
+# The base kinds are written out here, apart from the rules of the operator: (name, expression, group, least).
+_KINDS = [
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    ("access", r"AKIA[A-Z0-9]+", 0, 16),
+    ("hex", r"[0-9a-f]{32,}", 0, 32),
+    *((r.name, r.pattern, r.group, r.least) for r in MORE_RULES),
+]
+
+
+def _matches(number: int, pattern: str, group: int, least: int) -> str:
+    r = _quoted(pattern)
     return (f"SELECT doc_id, {number} AS kind, regexp_extract_all(t, {r}) AS m, string_split_regex(t, {r}) AS g, "
-            f"regexp_extract_all(t, {r}, {rule.group}) AS v, {rule.least} AS least FROM docs")
+            f"regexp_extract_all(t, {r}, {group}) AS v, {least} AS least FROM docs")
 
 
-_ALL_RULES = BASE_RULES + MORE_RULES
-_NAMES = "[" + ", ".join(_quoted(r.name) for r in _ALL_RULES) + "]"
+_NAMES = "[" + ", ".join(_quoted(name) for name, *_ in _KINDS) + "]"
 OP9 = f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-found AS ({" UNION ALL ".join(_matches(i, r) for i, r in enumerate(_ALL_RULES))}),
+found AS ({" UNION ALL ".join(_matches(i, *rest) for i, (_, *rest) in enumerate(_KINDS))}),
 each AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found),
 placed AS (SELECT doc_id, kind, v[i] AS v, least,
     CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s,
