@@ -28,11 +28,19 @@ def docs_of(spark, rows, clash=()):
 # ---- secrets ------------------------------------------------------------
 
 
+#: The base kinds as they are defined, apart from the operator's rules: (expression, group, least).
+BASE = (
+    (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    (r"AKIA[A-Z0-9]+", 0, 16),
+    (r"[0-9a-f]+", 0, 32),
+)
+
+
 def brute_spans(text):
     found = []
-    for kind, rule in enumerate(BASE_RULES + MORE_RULES):
-        for m in re.finditer(rule.pattern, text or "", re.ASCII):
-            if m.end(rule.group) - m.start(rule.group) >= rule.least:
+    for kind, (pattern, group, least) in enumerate([*BASE, *((r.pattern, r.group, r.least) for r in MORE_RULES)]):
+        for m in re.finditer(pattern, text or "", re.ASCII):
+            if m.end(group) - m.start(group) >= least:
                 found.append((m.start(), kind, m.end()))
     return sorted(found)
 
