@@ -262,14 +262,16 @@ class Decontaminator:
         items = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("text"))
         blocks = max(1, -(-items.count() // self.block_items))
         kind = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row")).schema["row"].dataType.simpleString()
-        out = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col(text_col).cast("string").alias("text"), F.expr(f"CAST(array() AS {_MATCH})").alias("matches"))
+        out = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.expr(f"CAST(array() AS {_MATCH})").alias("matches"))
         for block in range(blocks):
             rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).orderBy("id", "text").toArrow()
             index = ItemIndex(list(zip(rows["id"].to_pylist(), rows["text"].to_pylist(), strict=True)), self.k, self.radius)
             log.info("block %d of %d: %d items, %d bytes", block, blocks, len(index.ids), index.nbytes)
             shared = docs.sparkSession.sparkContext.broadcast(index)
-            out = out.mapInArrow(_match_rows(shared, self.k, self.least), f"row {kind}, text string, matches {_MATCH}")
-        return out.drop("text")
+            # The text goes to the workers beside its row, and does not come back.
+            texts = out.select("row", F.col(f"row.{text_col}").cast("string").alias("text"), "matches")
+            out = texts.mapInArrow(_match_rows(shared, self.k, self.least), f"row {kind}, matches {_MATCH}")
+        return out
 
 
 def _match_rows(shared, k: int, least: float):
@@ -289,6 +291,6 @@ def _match_rows(shared, k: int, least: float):
                     before[first + i] = (before[first + i] or []) + index.matches(grams[lo:hi], int(words.bounds[i + 1] - words.bounds[i]), inside, least)
                 for i, match in index.short_matches(words, hashes):
                     before[first + i] = (before[first + i] or []) + [match]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(before, _MATCH_TYPE)], ["row", "text", "matches"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(before, _MATCH_TYPE)], ["row", "matches"])
 
     return run
